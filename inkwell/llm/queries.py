@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bytebpe, linededup, mixing, quality, rules, tokencount, topk
+from . import bytebpe, html, linededup, mixing, quality, rules, tokencount, topk, urls
 from .common import table
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
 
 def op1_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -36,16 +38,24 @@ def op5_quality_classifier(spark, sf_dir):
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_html_extract(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark, sf_dir):
     d = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_url_filter(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_quality_rules(spark, sf_dir):
     out = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_mix_sources, op3_token_counts, op4_byte_bpe, op5_quality_classifier, op8_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_mix_sources, op3_token_counts, op4_byte_bpe, op5_quality_classifier, op7_html_extract, op8_line_dedup, op9_url_filter, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
