@@ -86,19 +86,39 @@ def same_source(left: DataFrame, goals: DataFrame) -> DataFrame:
     return left.join(right, F.col("source").eqNullSafe(F.col("of_source")), "inner").drop("of_source")
 
 
-def mix(docs: DataFrame, cycle: int = 3, share: float = 1.0, most: int = 3) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken.
-
-    size is the number of words (null or blank text: 0, such documents are never taken for anything).
-    taken is size times how often the mix takes the document, 0 to ``most``. An empty table gives an empty
-    result; rows that repeat an id share its hash and stand or fall together; a null source is a source.
-    Columns other than doc_id, text and source are ignored.
-    """
+def plan(docs: DataFrame, cycle: int = 3, share: float = 1.0, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, h) of all documents, and (source, source_size, target, passes, cut)."""
     narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h"))
     narrow = written(narrow, "mix")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = written(targets(sizes, cycle, share, most), "mix-targets")
-    cuts = written(thresholds(narrow, goals), "mix-cuts")
-    times = F.col("passes") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
+    return narrow, written(thresholds(narrow, goals), "mix-cuts")
+
+
+def times(h: Column, most: int = 3) -> Column:
+    """How often a document of this hash is taken, next to its source's passes and cut."""
+    return F.least(F.col("passes") + F.when(h < F.col("cut"), 1).otherwise(0), F.lit(most))
+
+
+def mix(docs: DataFrame, cycle: int = 3, share: float = 1.0, most: int = 3) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken.
+
+    size is the number of words (null or blank text: 0). taken is size times how often the mix takes the
+    document, 0 to ``most``. An empty table gives an empty result; rows that repeat an id share its hash and
+    stand or fall together; a null source is a source. Columns other than doc_id, text and source are ignored.
+    """
+    narrow, cuts = plan(docs, cycle, share, most)
     out = same_source(narrow, cuts)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(times, F.lit(most))).cast("long").alias("taken"), F.least(times, F.lit(most)).alias("times"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times(F.col("h"), most)).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, cycle: int = 3, share: float = 1.0, most: int = 3) -> DataFrame:
+    """``docs`` as the mix takes them: rows taken twice come twice, rows not taken are gone.
+
+    Each row is judged by its own hash and its source's cut, so texts are not shuffled.
+    """
+    names = docs.columns
+    _, cuts = plan(docs, cycle, share, most)
+    rows = same_source(docs, cuts.select("source", "passes", "cut"))
+    rows = rows.withColumn("_times", times(doc_hash(F.col("doc_id")), most)).where(F.col("_times") > 0)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)

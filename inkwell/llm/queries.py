@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bytebpe, html, linededup, mixing, quality, rules, tokencount, topk, urls
+from . import bytebpe, html, linededup, mixing, neardup, quality, rules, tokencount, topk, urls
 from .common import table
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -38,6 +38,10 @@ def op5_quality_classifier(spark, sf_dir):
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_minhash_dedup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 80)
+
+
 def op7_html_extract(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,6 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_mix_sources, op3_token_counts, op4_byte_bpe, op5_quality_classifier, op7_html_extract, op8_line_dedup, op9_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_mix_sources, op3_token_counts, op4_byte_bpe, op5_quality_classifier, op6_minhash_dedup, op7_html_extract, op8_line_dedup, op9_url_filter, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
