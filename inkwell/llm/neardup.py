@@ -18,7 +18,7 @@ from .common import written
 #: similarity 0.8 is missed by all bands with a chance of (1 - 0.8**5)**32, about 3 in a million.
 HASHES, BANDS, ROWS = 80, 32, 5
 #: All pairs of buckets up to this size are compared; larger ones are compared with HUBS members a round.
-SMALL, HUBS, ROUNDS = 12, 8, 2
+SMALL, HUBS, ROUNDS = 24, 6, 2
 #: So many ids (8 bytes each) may be sent to all executors; more are joined by shuffling.
 FEW_IDS = 1_000_000
 
@@ -151,8 +151,8 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
-def order(seed: int, doc: str = "doc") -> Column:
-    return F.struct(F.xxhash64(F.lit(seed), F.col(doc)).alias("h"), F.col(doc).alias("doc"))
+def order(seed: int) -> Column:
+    return F.struct(F.xxhash64(F.lit(seed), F.col("doc")).alias("h"), F.col("doc").alias("doc"), F.col("c").alias("c"), F.col("alone").alias("alone"))
 
 
 def candidates(members: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
@@ -161,14 +161,15 @@ def candidates(members: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
     Small buckets give all such pairs. Of a large one, HUBS members, another choice each round, are paired
     with all others, so its pairs grow with its size and not with the square of it.
     """
-    m = members.join(labels.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    m = members.join(labels.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"), F.col("component").isNull().alias("alone"))
     m = written(m, "members")
     open_ = m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *[F.min(order(seed + i)).alias(f"h{i}") for i in range(HUBS)]).where("c0 <> c1")
     m = m.join(open_.drop("c0", "c1"), "key")
     small = m.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("doc", "c")).alias("all"))
     p = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.doc > y.doc and x.c <> y.c").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    large = m.where(F.col("n") > SMALL).select("doc", "c", F.explode(F.array(*[F.col(f"h{i}")["doc"] for i in range(HUBS)])).alias("hub")).distinct()
-    large = large.join(labels.select(F.col("doc").alias("hub"), F.col("component").alias("hc")), "hub", "left").where(F.coalesce("hc", "hub") != F.col("c"))
+    # only hubs of other components, before they become rows; a lone hub meets its bucket's components as a member
+    hubs = F.filter(F.array(*[F.col(f"h{i}") for i in range(HUBS)]), lambda h: (h["c"] != F.col("c")) & (F.col("alone") | ~h["alone"]))
+    large = m.where(F.col("n") > SMALL).select("doc", F.explode(F.array_distinct(F.transform(hubs, lambda h: h["doc"]))).alias("hub")).distinct()
     return p.unionByName(large.select(F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("b"))).distinct()
 
 
