@@ -7,21 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import bytebpe, linededup, mixing, neardup, quality
-from inkwell.llm.common import ready, table, written
+from inkwell.llm.common import ready, shielded, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    rows, back = shielded(docs, "doc_id", "text")
+    return back(quality.score(rows, model).where("predicted = 1"))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: texts lose the lines that many documents share."""
     lost = F.col("n_dropped") > 0
-    out = linededup.dedup_lines(docs)
+    rows, back = shielded(docs, "doc_id", "text", "n_chars")
+    out = linededup.dedup_lines(rows)
     out = out.withColumn("text", F.when(lost, F.col("kept_text")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return back(out.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = written(neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     if gone.limit(neardup.FEW_IDS + 1).count() <= neardup.FEW_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, back = shielded(docs, "doc_id")
+    return back(rows.join(gone, "doc_id", "left_anti"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``own`` under names that nothing else has, and the way back to its own columns."""
+    names = docs.columns
+    inner = [c if c in own else f"__{i}" for i, c in enumerate(names)]
+    return docs.toDF(*inner), lambda df: df.select(*inner).toDF(*names)
+
+
 def ready(spark: SparkSession) -> None:
     """Lets Python workers find this package where it is not installed but lies at the same path."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

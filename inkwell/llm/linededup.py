@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, written
+from .common import SPACES, ascii_lower, shielded, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Parts into which the counts of one line are split before they meet.
@@ -63,11 +63,15 @@ def apply_maps(docs: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All of ``docs`` with n_lines, n_dropped and kept_text, whatever other columns it has.
+    """All of ``docs`` with n_lines, n_dropped and kept_text in place of any columns of these names.
 
     A line's key is the line stripped of white space at both ends, A-Z lowered. Keys of ``min_chars`` code
     points or more that ``min_docs`` documents or more hold lose all their lines except in the largest
     doc_id that holds them. Other lines stay as they are, in order. An empty table gives an empty result.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "map_doc", "gaps", "flags")
-    return apply_maps(docs, keep_maps(docs.select("doc_id", "text"), min_chars, min_docs))
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
+    names = docs.columns
+    rows, _ = shielded(docs, "doc_id", "text")
+    inner = rows.columns
+    out = apply_maps(rows, keep_maps(rows.select("doc_id", "text"), min_chars, min_docs))
+    return out.select(*inner, "n_lines", "n_dropped", "kept_text").toDF(*names, "n_lines", "n_dropped", "kept_text")

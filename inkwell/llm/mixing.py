@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import shielded, word_count, written
 
 #: Hash bits: LEVELS nested histograms of 2**BITS buckets each. Buckets of the last level hold about
 #: one document in 2**36 of a source.
@@ -117,8 +117,8 @@ def repeated(docs: DataFrame, cycle: int = 3, share: float = 1.0, most: int = 3)
 
     Each row is judged by its own hash and its source's cut, so texts are not shuffled.
     """
-    names = docs.columns
-    _, cuts = plan(docs, cycle, share, most)
-    rows = same_source(docs, cuts.select("source", "passes", "cut"))
-    rows = rows.withColumn("_times", times(doc_hash(F.col("doc_id")), most)).where(F.col("_times") > 0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    rows, back = shielded(docs, "doc_id", "text", "source")
+    _, cuts = plan(rows, cycle, share, most)
+    rows = same_source(rows, cuts.select("source", "passes", "cut"))
+    rows = rows.withColumn("times", times(doc_hash(F.col("doc_id")), most)).where(F.col("times") > 0)
+    return back(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))))
