@@ -136,7 +136,7 @@ def best(index: dict, turned: np.ndarray, own: int, weights: list[int], k: int)
 
 def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(flat), width)
 
 
 def blocks(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
@@ -164,14 +164,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     ``vectors`` (vec_id, embedding); ``is_query`` picks the queries among its rows. Candidates of a query are
     all rows of other ids and of its own width. Vectors that are null or hold null or non-finite components
     take no part, nor do rows without an id. Rows that repeat an id with equal vectors count once; an id with
-    different vectors takes part with each, and keeps its best ``k`` results over all. Scores are exact; one
+    different vectors takes part with each, as a query with the best ``k`` results over all of them. Scores are exact; one
     beyond the range of a long shows as its limit. Empty tables give an empty result.
 
     Index blocks and query blocks meet on their numbers in an equality join, so no task holds more than one of
     each; every pair of blocks gives k rows a query, which are ranked per query.
     """
     v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"))
-    v = v.withColumn("width", F.size("v"))
+    v = v.dropDuplicates(["vec_id", "v"]).withColumn("width", F.size("v"))
     rows, n_rows = blocks(v, "index", ROWS)
     queries, n_queries = blocks(v.where(is_query), "queries", QUERIES)
     left = rows.select("block", "width", "body", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("other"))
