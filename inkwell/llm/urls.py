@@ -94,8 +94,8 @@ class Classifier:
 
 @cache
 def models() -> tuple[Segmenter, Classifier]:
-    unwanted, wanted = [x.split("-") for x in UNWANTED], [x.split("-") for x in WANTED]
-    counts = Counter(t for x in unwanted + wanted for t in x if len(t) > 1)
+    unwanted, wanted = ([[t for t in x.split("-") if len(t) > 1] for x in names] for names in (UNWANTED, WANTED))
+    counts = Counter(t for x in unwanted + wanted for t in x)
     for i, w in enumerate(COMMON):
         counts[w] += 20 / (1 + i / 10)
     return Segmenter(dict(counts)), Classifier(unwanted, wanted)
