@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bytebpe, html, linededup, mixing, neardup, quality, rules, tokencount, topk, urls
 from .common import table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -61,5 +62,3 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_mix_sources, op3_token_counts, op4_byte_bpe, op5_quality_classifier, op6_minhash_dedup, op7_html_extract, op8_line_dedup, op9_url_filter, op10_quality_rules)}
-
-ORACLE_SQL: dict[str, str] = {}
