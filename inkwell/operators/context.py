@@ -211,3 +211,32 @@ def chosen_model(running: DataFrame, configured: DataFrame, defaults: DataFrame,
 def capable(clients: DataFrame, capabilities: DataFrame, method: str) -> DataFrame:
     """Clients that announce a method."""
     return clients.join(capabilities.where(F.col("method") == method).select("client").distinct(), "client", "left_semi")
+
+
+def eligible_buffers(buffers: DataFrame) -> DataFrame:
+    """Buffers that may serve as context: loaded, listed, named and not empty."""
+    return buffers.where(F.coalesce("loaded", F.lit(False)) & F.coalesce("listed", F.lit(False)) & (F.col("name") != "") & (F.col("text") != ""))
+
+
+def location(reply: Column) -> Column:
+    """struct<path, start_line, end_line> of a definition reply in JSON, of either shape; lines from 1; null without place.
+
+    Without an end the place ends on its first line.
+    """
+    get = lambda path: F.get_json_object(reply, path)
+    uri = F.coalesce(get("$.uri"), get("$.targetUri"))
+    shapes = ("range", "targetSelectionRange", "targetRange")
+    has = [get(f"$.{s}").isNotNull() for s in shapes]
+    pick = lambda part: F.when(has[0], get(f"$.range.{part}.line")).when(has[1], get(f"$.targetSelectionRange.{part}.line")).when(has[2], get(f"$.targetRange.{part}.line")).cast("int")
+    start = F.coalesce(pick("start"), F.lit(0)) + 1
+    place = F.struct(F.regexp_replace(uri, "^file://", "").alias("path"), start.alias("start_line"), (F.coalesce(pick("end"), start - 1) + 1).alias("end_line"))
+    return F.when(uri.isNotNull() & (has[0] | has[1] | has[2]), place)
+
+
+def node_text(text: Column, sr: Column, sc: Column, er: Column, ec: Column) -> Column:
+    """The text of a range: rows from 0, columns from 0, the last exclusive."""
+    ls = F.slice(lines(text), sr + 1, F.greatest(er - sr + 1, F.lit(0)))
+    n = F.size(ls)
+    one = F.substring(F.get(ls, F.lit(0)), sc + 1, F.greatest(ec - sc, F.lit(0)))
+    many = F.transform(ls, lambda x, i: F.when(i == 0, F.substring(x, sc + 1, F.length(x))).when(i == n - 1, F.substring(x, F.lit(1), ec)).otherwise(x))
+    return F.when(n == 0, "").when(n == 1, one).otherwise(F.array_join(many, "\n"))

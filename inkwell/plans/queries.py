@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from inkwell.functions import fixed
 from inkwell.functions import text as T
 from inkwell.operators import context, merge, prompt, window
+from inkwell.plans import suggest
+from inkwell.registry import Registry
 from inkwell.sources import log, responses
 from inkwell.sources.tables import table
 from inkwell.streaming import events, machine
@@ -706,3 +708,68 @@ def interaction_outcomes(spark, sf_dir):
     resp = e.where(i % 5 != 0).withColumn("n_completions", i % 4)
     acc = e.where(i % 3 == 0).withColumn("accepted", F.lit(True)).unionByName(e.where(i % 2 == 0).withColumn("accepted", i % 7 != 0))
     return log.outcomes(e, resp, acc)
+
+
+@query(
+    """WITH e AS (SELECT event_id, ['CursorMovedI', 'InsertEnter', 'InsertLeave', 'BufLeave', 'Other'][event_id % 5 + 1] AS kind, event_id % 11 = 0 AS pending, event_id % 2 = 0 AS visible, event_id % 7 <> 0 AS on_row, event_id % 3 - 1 AS moved, event_id % 4 < 2 AS ok FROM events)
+SELECT event_id, CASE WHEN kind = 'InsertEnter' THEN 'trigger' WHEN kind IN ('InsertLeave', 'BufLeave') THEN 'dismiss' WHEN kind = 'Other' THEN 'nothing' WHEN pending THEN 'validate' WHEN NOT visible THEN 'trigger'
+  WHEN on_row AND moved = 0 THEN 'keep' WHEN on_row AND moved > 0 AND ok THEN 'trim' ELSE 'dismiss and trigger' END AS action FROM e"""
+)
+def event_dispatch(spark, sf_dir):
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("CursorMovedI", "InsertEnter", "InsertLeave", "BufLeave", "Other"))), (i % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(i, events.action(kind, i % 11 == 0, i % 2 == 0, i % 7 != 0, i % 3 - 1, i % 4 < 2).alias("action"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND text <> ''")
+def eligible_buffers(spark, sf_dir):
+    k = F.col("doc_id")
+    b = table(spark, sf_dir, "documents").select(k, "text", (k % 2 == 0).alias("loaded"), F.when(k % 3 != 0, True).alias("listed"), F.when(k % 5 != 0, F.col("source")).otherwise("").alias("name"))
+    return context.eligible_buffers(b).select("doc_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN '/w/' || user_id END AS path, CASE WHEN event_id % 4 < 3 THEN k + 1 END AS start_line, CASE event_id % 4 WHEN 0 THEN k + 3 WHEN 1 THEN k + 1 WHEN 2 THEN k + 6 END AS end_line FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) e")
+def locations(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("file:///w/"), F.col("user_id").cast("string")).alias("uri"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    at = lambda c: F.struct(c.alias("line"))
+    i = F.col("event_id") % 4
+    reply = (
+        F.when(i == 0, F.to_json(F.struct("uri", F.struct(at(F.col("k")).alias("start"), at(F.col("k") + 2).alias("end")).alias("range"))))
+        .when(i == 1, F.to_json(F.struct(F.col("uri").alias("targetUri"), F.struct(at(F.col("k")).alias("start")).alias("targetSelectionRange"))))
+        .when(i == 2, F.to_json(F.struct(F.col("uri").alias("targetUri"), F.struct(at(F.col("k")).alias("start"), at(F.col("k") + 5).alias("end")).alias("targetRange"))))
+        .otherwise(F.to_json(F.struct("uri")))
+    )
+    return e.select("event_id", context.location(reply).alias("l")).select("event_id", "l.*")
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, string_split(text, {NL}) AS ls, CAST(doc_id % 3 AS INT) AS sr, CAST(doc_id % 3 + doc_id % 2 AS INT) AS er FROM documents), s AS (SELECT *, list_slice(ls, sr + 1, er + 1) AS p FROM d)
+SELECT doc_id, CASE len(p) WHEN 0 THEN '' WHEN 1 THEN substring(p[1], 6, 12) ELSE array_to_string(list_concat(list_concat([substring(p[1], 6)], list_slice(p, 2, len(p) - 1)), [substring(p[len(p)], 1, 17)]), {NL}) END AS text FROM s"""
+)
+def node_texts(spark, sf_dir):
+    k = F.col("doc_id")
+    t = context.node_text(F.col("text"), (k % 3).cast("int"), F.lit(5), (k % 3 + k % 2).cast("int"), F.lit(17))
+    return table(spark, sf_dir, "documents").select(k, t.alias("text"))
+
+
+@query(
+    f"""WITH {MIDDLE}, r AS (SELECT * FROM w WHERE lang <> 'fr' AND doc_id % 6 <> 5), p AS (SELECT *, doc_id % 2 = 0 AS chat FROM r),
+c AS (SELECT *, CASE WHEN chat THEN 'lang ' || lang || {NL} || {NL} || 'head ' || left(ls[1], 10) END AS ctx FROM p)
+SELECT doc_id AS request, CASE WHEN chat THEN 'chat' ELSE 'fim' END AS mode, md5(CASE WHEN chat THEN {SYSTEM} ELSE before END) AS first_part,
+  CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE 'new line' END AS completions, CASE WHEN doc_id % 7 = 0 THEN 'moved' WHEN doc_id % 3 < 2 THEN 'empty' ELSE 'used' END AS verdict FROM c"""
+)
+def suggestions(spark, sf_dir):
+    """The request path end to end: eligible requests, context by two providers, prompts, responses, verdicts."""
+    d = middle(spark, sf_dir)
+    k = F.col("request")
+    r = d.select(F.col("doc_id").alias("request"), "text", F.col("lang").alias("filetype"), "line", "col")
+    r = r.withColumn("mode", F.when(k % 6 == 5, "n").otherwise("i")).withColumn("formatter", F.when(k % 2 == 0, "chat").otherwise("fim")).withColumn("rejected", F.lit(None).cast("array<string>"))
+    reg = Registry()
+    reg.provider("head", lambda x: x.select("request", F.concat(F.lit("head "), F.substring(F.get(T.lines(F.col("text")), F.lit(0)), 1, 10)).alias("content")), priority=20)
+    reg.provider("lang", lambda x: x.select("request", F.concat(F.lit("lang "), "filetype").alias("content")), priority=5)
+    r = suggest.with_prompts(suggest.eligible(r, ("fr",)), reg)
+    fenced = F.when(k % 3 == 2, F.array(F.lit("```\nnew line\n```"))).otherwise(F.array().cast("array<string>"))
+    answers = d.select(F.col("doc_id").alias("request")).where("request % 3 <> 0").withColumn("completions", fenced)
+    r = suggest.used(suggest.with_completions(r, answers), F.lit(False), F.lit("i"), F.lit(True), F.when(k % 7 == 0, F.col("line") + 1).otherwise(F.col("line")), F.col("col"))
+    first = F.coalesce(F.get(F.col("prompt.messages"), F.lit(0))["content"], F.col("prompt.prefix"))
+    return r.select("request", F.col("prompt.mode").alias("mode"), md5(first).alias("first_part"), F.array_join("completions", "|").alias("completions"), "verdict")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,3 +98,13 @@ def outcomes(request: DataFrame, response: DataFrame, acceptance: DataFrame) ->
         .when(F.col("accepted"), "accepted").otherwise("rejected")
     )
     return out.select("request_id", F.col("n_completions").isNotNull().alias("answered"), F.coalesce("n_accepts", F.lit(0)).cast("long").alias("n_accepts"), "accepted", kind.alias("outcome"))
+
+
+def request_id() -> Column:
+    """A random identifier for a request."""
+    return F.uuid()
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Appends log lines (one string column) to a text log."""
+    lines.write.mode("append").text(path)

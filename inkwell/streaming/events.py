@@ -44,3 +44,18 @@ def flushed(events: DataFrame, by: str, most: int = fixed.BUFFERED_EVENTS) -> Da
 def append_stream(events: DataFrame, path: str, checkpoint: str):
     """Writes a stream to the JSON-lines log every 30 seconds; a running write delays the next, nothing is lost."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=f"{fixed.FLUSH_SECONDS} seconds").start()
+
+
+def action(kind: Column, pending: Column, visible: Column, on_row: Column, moved: Column, typed_matches: Column) -> Column:
+    """What an edit event leads to: validate, keep, trim, dismiss or trigger (or both of these), else nothing."""
+    cursor = (
+        F.when(pending, "validate").when(visible & on_row & (moved == 0), "keep").when(visible & on_row & (moved > 0) & typed_matches, "trim")
+        .when(visible, "dismiss and trigger").otherwise("trigger")
+    )
+    return F.when(kind == "CursorMovedI", cursor).when(kind == "InsertEnter", "trigger").when(kind.isin("InsertLeave", "BufLeave"), "dismiss").otherwise("nothing")
+
+
+def finish(query) -> None:
+    """Writes all that a stream has received and stops it."""
+    query.processAllAvailable()
+    query.stop()
