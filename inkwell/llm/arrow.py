@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """(rows, their texts) with about ``most`` bytes of text at a time, one row at least; null texts are ''."""
     col = batch.column(batch.schema.get_field_index(column))
     lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()

@@ -19,7 +19,7 @@ from .arrow import pieces
 #: Two blanks together, or one at an end: such texts are encoded in one go, others word by word.
 ROUGH = re.compile(r"^\s|\s\s|\s$")
 #: Words whose ids a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 100_000
 
 
 def byte_chars() -> list[str]:

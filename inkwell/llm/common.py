@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space of all contracts (code points 0x20 and 0x09 to 0x0D) and a maximal run of anything else.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Text in one Arrow batch, about.
+BATCH_BYTES = "4m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,11 +50,16 @@ def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers find this package where it is not installed but lies at the same path."""
+    """Prepares a session for Python workers.
+
+    They find this package where it is not installed but lies at the same path, and get texts in batches of
+    a few MB, since a batch is in memory several times, in the JVM and in a worker.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -59,7 +59,7 @@ def features(text: str) -> np.ndarray:
         kinds, n = np.unique(np.array(marked, dtype=object), return_counts=True)
         for kind, share in zip(kinds.tolist(), (n / len(marked)).tolist()):
             grams.update((b"share", kind, b"%d" % i) for i, least in enumerate((0.1, 0.25, 0.5)) if share >= least)
-    if len(_slots) > 500_000:
+    if len(_slots) > 100_000:
         _slots.clear()
     out = []
     for g in grams:
