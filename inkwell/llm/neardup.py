@@ -75,7 +75,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in pieces(batch, "text", 1_500_000):
+            for rows, texts in pieces(batch, "text"):
                 sets, same = shingles(texts)
                 keys = band_keys(sets)
                 lists = pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64()))
@@ -90,7 +90,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in pieces(batch, "text", 1_500_000):
+            for rows, texts in pieces(batch, "text"):
                 sets, _ = shingles(texts)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "body"])
 
@@ -190,7 +190,9 @@ def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
     sig = written(signatures(docs), "signatures")
     with_words = sig.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
     copies = with_words.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    own = written(with_words.select("doc_id", "same").join(copies.drop("copies"), "same").select("doc_id", "first"), "copies")
+    # read again, so that the join has plain shuffles on both sides and a hot group of copies can be split
+    copies = written(copies.drop("copies"), "groups")
+    own = written(with_words.select("doc_id", "same").join(copies, "same").select("doc_id", "first"), "copies")
     later = own.where("doc_id <> first").select("doc_id").distinct()
     kept = with_words.join(later, "doc_id", "left_anti")
     keyed = kept.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
