@@ -74,7 +74,8 @@ def thresholds(narrow: DataFrame, goals: DataFrame, levels: int = LEVELS, bits:
             nearer = (F.col("at.under") + F.col("at.words") - F.col("rest")) < (F.col("rest") - F.col("at.under"))
             prefix = prefix + F.when(F.col("open") & nearer, 1).otherwise(0)
         rest = F.when(F.col("open") & F.lit(not last), F.col("rest") - F.col("at.under")).otherwise(F.col("rest"))
-        g = g.withColumn("prefix", prefix.cast("long")).withColumn("rest", rest).drop("at", "top")
+        # one row a source, written so that the next level does not count this one again
+        g = written(g.withColumn("prefix", prefix.cast("long")).withColumn("rest", rest).drop("at", "top"), "mix-level")
     return g.select("source", "source_size", "target", "passes", F.col("prefix").alias("cut"))
 
 
@@ -92,7 +93,7 @@ def plan(docs: DataFrame, cycle: int = 3, share: float = 1.0, most: int = 3) ->
     narrow = written(narrow, "mix")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = written(targets(sizes, cycle, share, most), "mix-targets")
-    return narrow, written(thresholds(narrow, goals), "mix-cuts")
+    return narrow, thresholds(narrow, goals)
 
 
 def times(h: Column, most: int = 3) -> Column:
