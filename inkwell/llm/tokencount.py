@@ -27,8 +27,8 @@ from .arrow import pieces
 
 BLANK = "▁"
 LANE = 192
-#: Above so many states a worker starts its table anew between batches, to bound its memory.
-MOST_STATES = 150_000
+#: Above so many states a worker drops the younger half between batches, to bound its memory.
+MOST_STATES = 200_000
 MOST_PAIRS = 500_000
 
 
@@ -63,6 +63,15 @@ class Transducer:
         self.emit = np.zeros((1024, self.wide), np.int8)
         self.state(("", ((0, None, 0),)))
 
+    def shrink(self) -> None:
+        """Forgets the states met last; those met first are the commonest. What is needed is compiled again."""
+        keep = MOST_STATES // 2
+        for key in self.states[keep:]:
+            del self.ids[key]
+        del self.states[keep:]
+        self.next[self.next >= keep] = -1
+        self.next[keep:] = -1
+
     def state(self, key: tuple) -> int:
         got = self.ids.get(key)
         if got is None:
@@ -143,7 +152,7 @@ class Transducer:
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         if len(self.states) > MOST_STATES:
-            self.reset()
+            self.shrink()
         if len(self.pairs) > MOST_PAIRS:
             self.pairs.clear()
         out = np.zeros(len(texts), np.int64)
