@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -32,6 +33,7 @@ MARKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOT_WORD = re.compile(r"[^a-z0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+CUT_TAG = re.compile(r"<[A-Za-z/!?]")
 #: Reach of the smoothing, in lines, and its width.
 RADIUS = 2
 KERNEL = [math.exp(-((i / 1.0) ** 2) / 2) for i in range(-RADIUS, RADIUS + 1)]
@@ -64,6 +66,7 @@ class Events(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, int]] = []  # tag, whether skipped, region, main
+        self.count: Counter[str] = Counter()  # of open tags, so that stray ends cost nothing
         self.lines: list[Line] = []
         self.regions = 1
         self.text: list[str] = []
@@ -100,6 +103,7 @@ class Events(HTMLParser):
             if tag == "a":
                 self.anchors += 1
         self.open.append((tag, skipped, region, main))
+        self.count[tag] += 1
 
     def close_implied(self, tag: str) -> None:
         """An open p ends where a block begins; an item or cell ends where the next of its kind begins."""
@@ -114,6 +118,7 @@ class Events(HTMLParser):
 
     def pop(self, to: int) -> None:
         for tag, skipped, _, _ in self.open[to:]:
+            self.count[tag] -= 1
             if tag == "a" and not skipped:
                 self.anchors = max(0, self.anchors - 1)
         del self.open[to:]
@@ -130,6 +135,8 @@ class Events(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
@@ -178,9 +185,15 @@ def chosen(lines: list[Line]) -> list[Line]:
 
 
 def main_text(html: str) -> str:
-    """The main text of a page: its lines joined by a line feed; '' if it has none. Broken markup is read as far as it goes."""
+    """The main text of a page: its lines joined by a line feed; '' if it has none.
+
+    Broken markup is read as far as it goes; a tag that the page's end cuts off is no text.
+    """
     events = Events()
-    events.feed(html)
+    # no tag ends after the last >, and the parser would look for one from each < anew
+    last = html.rfind(">") + 1
+    cut = CUT_TAG.search(html, last)
+    events.feed(html[: cut.start()] if cut else html)
     events.close()
     return "\n".join([x.text for x in chosen(events.lines)])
 
