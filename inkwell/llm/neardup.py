@@ -17,8 +17,8 @@ from .common import written
 #: Each of HASHES permutations gives its minimum and its maximum, so BANDS * ROWS is twice HASHES. A pair at
 #: similarity 0.8 is missed by all bands with a chance of (1 - 0.8**5)**32, about 3 in a million.
 HASHES, BANDS, ROWS = 80, 32, 5
-#: All pairs of buckets up to this size are compared; larger ones are compared with HUBS members a round.
-SMALL, HUBS, ROUNDS = 24, 6, 2
+#: All pairs of buckets up to this size are compared; members of larger ones with HUBS others a round, until a round finds no link.
+SMALL, HUBS = 24, 4
 #: So many ids (8 bytes each) may be sent to all executors; more are joined by shuffling.
 FEW_IDS = 1_000_000
 
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
     Exact copies (equal word sequences) are settled by one aggregation and only their smallest ids go on. Of
     these, documents that share a band key meet in a bucket. First each is compared with the one smallest
     member that it meets most often; then, round by round, with others of its buckets that are not yet in its
-    component. Every link is confirmed on the full sets. What is sent is keys, sets of documents that meet
+    component, until a round finds no link. Every link is confirmed on the full sets. What is sent is keys, sets of documents that meet
     any other, and links, never all pairs of a large bucket.
     """
     sig = written(signatures(docs), "signatures")
@@ -205,16 +205,14 @@ def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
     sets = written(full_sets(only(docs.select("doc_id", "text"), ids)), "sets")
     edges = written(linked(tried, sets, similar), "links")
     labels = components(edges)
-    for r in range(ROUNDS):
-        more = written(candidates(members.select("key", "doc", "n"), labels, r * HUBS).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
+    seed = 0
+    while True:
+        more = written(candidates(members.select("key", "doc", "n"), labels, seed).join(tried, ["a", "b"], "left_anti"), "pairs")
         found = written(linked(more, sets, similar), "links")
-        tried, edges = tried.unionByName(more), edges.unionByName(found)
-        if not found.isEmpty():
-            labels = components(edges)
-        elif r:
+        if found.isEmpty():
             break
+        tried, edges, seed = tried.unionByName(more), edges.unionByName(found), seed + HUBS
+        labels = components(edges)
     c = own.join(labels, own["first"] == labels["doc"], "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
     c = c.unionByName(labels.join(own.select(F.col("doc_id").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("doc_id"), F.col("component").alias("component_id"))).distinct()
     out = sig.select("doc_id", "n_shingles").join(c.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").drop("of")
