@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import fixed
 from inkwell.functions.text import lines, plausible_name, truncated
+from inkwell.sources.shared import written
 
 
 def neighbours(buffers: DataFrame, current: Column, most: int = fixed.MAX_BUFFERS, most_lines: int = fixed.MAX_LINES_PER_BUFFER) -> DataFrame:
@@ -140,12 +141,14 @@ def named_functions(symbols: DataFrame, start: Column | int, end: Column | int)
 def flattened(symbols: DataFrame, levels: int = 32) -> DataFrame:
     """Symbols (id, parent, name) with depth and path of names, roots first; trees deeper than ``levels`` are an error.
 
-    One join a level, on the parents found so far; it ends with the deepest.
+    One join a level, with the parents of the level before, which is written first so that no level is
+    computed twice; it ends with the deepest.
     """
     level = symbols.where(F.col("parent").isNull()).select("id", F.lit(0).alias("depth"), F.array("name").alias("path"))
     out = [level]
     for depth in range(1, levels + 1):
         level = symbols.join(level.select(F.col("id").alias("parent"), F.col("path").alias("_up")), "parent").select("id", F.lit(depth).alias("depth"), F.concat("_up", F.array("name")).alias("path"))
+        level = written(level, "symbols")
         if level.isEmpty():
             return reduce(DataFrame.unionByName, out)
         out.append(level)

@@ -372,12 +372,12 @@ def formatter_choice(spark, sf_dir):
 @query(
     f"""WITH u AS (SELECT * FROM documents WHERE text <> ''), f AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM u),
 p AS (SELECT c.doc_id AS cur, f.doc_id, array_to_string(list_slice(string_split(f.text, {NL}), 1, 10), {NL}) AS head, row_number() OVER (PARTITION BY c.doc_id ORDER BY f.doc_id) AS k
-  FROM documents c JOIN f ON f.lang = c.lang AND f.doc_id <> c.doc_id WHERE c.doc_id % 10 = 0 AND f.r <= 4),
+  FROM documents c JOIN f ON f.lang = c.lang AND f.doc_id <> c.doc_id WHERE f.r <= 4),
 g AS (SELECT cur, count(*) AS n, string_agg(head, {NL} || {NL} ORDER BY doc_id) AS t FROM p WHERE k <= 3 GROUP BY cur)
-SELECT c.doc_id AS id, coalesce(n, 0) AS n_buffers, CASE WHEN n > 0 THEN {q(fixed.BUFFERS_HEADER)} || t ELSE '' END AS content FROM documents c LEFT JOIN g ON g.cur = c.doc_id WHERE c.doc_id % 10 = 0"""
+SELECT c.doc_id AS id, coalesce(n, 0) AS n_buffers, CASE WHEN n > 0 THEN {q(fixed.BUFFERS_HEADER)} || t ELSE '' END AS content FROM documents c LEFT JOIN g ON g.cur = c.doc_id"""
 )
 def neighbour_buffers(spark, sf_dir):
-    return context.neighbours(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("filetype"), "text"), F.col("id") % 10 == 0)
+    return context.neighbours(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("filetype"), "text"), F.lit(True))
 
 
 DIAG = "SELECT user_id AS buffer, event_id AS id, CAST(json_extract_string(props, '$.k') AS INT) AS lnum, CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 9 END AS severity, event_type AS message FROM events"
@@ -508,7 +508,7 @@ def model_select(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE n AS (SELECT doc_id AS id, CASE WHEN doc_id > 0 THEN (doc_id - 1) // 2 END AS parent, lang AS type, left(string_split(text, {NL})[1], 200) AS text FROM documents),
+    f"""WITH RECURSIVE n AS (SELECT doc_id AS id, CASE WHEN doc_id > 0 THEN (doc_id - 1) // 2 END AS parent, lang AS type, string_split(text, {NL})[1] AS text FROM documents),
 a AS (SELECT id AS start, parent AS at, 0 AS k, 0 AS size, CAST([] AS VARCHAR[]) AS parts, false AS done FROM n
   UNION ALL SELECT a.start, n.parent, a.k + 1, CASE WHEN a.size + length(n.text) <= 500 THEN a.size + length(n.text) ELSE a.size END,
     CASE WHEN a.size + length(n.text) <= 500 THEN list_concat(['-- [' || n.type || ']' || {NL} || n.text], a.parts) ELSE a.parts END, a.size + length(n.text) > 500 OR a.size + length(n.text) >= 500
@@ -517,18 +517,18 @@ SELECT start AS id, CAST(len(p) AS BIGINT) AS n_parents, array_to_string(p, {NL}
 )
 def ancestor_chain(spark, sf_dir):
     k = F.col("doc_id")
-    nodes = table(spark, sf_dir, "documents").select(k.alias("id"), F.when(k > 0, F.floor((k - 1) / 2)).alias("parent"), F.col("lang").alias("type"), F.substring(F.get(T.lines(F.col("text")), F.lit(0)), 1, 200).alias("text"))
+    nodes = table(spark, sf_dir, "documents").select(k.alias("id"), F.when(k > 0, F.floor((k - 1) / 2)).alias("parent"), F.col("lang").alias("type"), F.get(T.lines(F.col("text")), F.lit(0)).alias("text"))
     return context.ancestors(nodes)
 
 
 @query(
-    """WITH RECURSIVE s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN NULL WHEN c_custkey % 10 > 1 THEN c_custkey - 1 ELSE c_custkey - 5 END AS parent, c_mktsegment AS name FROM customer WHERE c_custkey > 10),
+    """WITH RECURSIVE s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN NULL WHEN c_custkey % 10 > 1 THEN c_custkey - 1 ELSE c_custkey - 5 END AS parent, c_mktsegment AS name FROM customer),
 f AS (SELECT id, 0 AS depth, name AS path FROM s WHERE parent IS NULL UNION ALL SELECT s.id, f.depth + 1, f.path || '/' || s.name FROM s JOIN f ON s.parent = f.id)
 SELECT id, depth, path FROM f"""
 )
 def symbol_tree(spark, sf_dir):
     k = F.col("c_custkey")
-    s = table(spark, sf_dir, "customer").where("c_custkey > 10").select(k.alias("id"), F.when(k % 10 == 1, None).when(k % 10 > 1, k - 1).otherwise(k - 5).alias("parent"), F.col("c_mktsegment").alias("name"))
+    s = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 10 == 1, None).when(k % 10 > 1, k - 1).otherwise(k - 5).alias("parent"), F.col("c_mktsegment").alias("name"))
     f = context.flattened(s)
     return f.select("id", "depth", F.array_join("path", "/").alias("path"))
 
@@ -558,9 +558,9 @@ def syntax_filters(spark, sf_dir):
     return a.unionByName(context.containers(n).select("event_id", "type", F.lit(True).alias("is_container")))
 
 
-@query("WITH c AS (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS last FROM events WHERE event_type = 'view' AND user_id % 3 = 0), f AS (SELECT user_id, event_id AS f_id, CAST(json_extract_string(props, '$.k') AS INT) AS f_first FROM events WHERE event_type = 'click' AND user_id % 3 = 0) SELECT c.user_id, c.event_id, c.last - 2 AS first, c.last, f_first, f_first + 5 AS f_last FROM c LEFT JOIN f ON f.user_id = c.user_id AND f_first - 1 = c.last")
+@query("WITH c AS (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS last FROM events WHERE event_type = 'view'), f AS (SELECT user_id, event_id AS f_id, CAST(json_extract_string(props, '$.k') AS INT) AS f_first FROM events WHERE event_type = 'click') SELECT c.user_id, c.event_id, c.last - 2 AS first, c.last, f_first, f_first + 5 AS f_last FROM c LEFT JOIN f ON f.user_id = c.user_id AND f_first - 1 = c.last")
 def comment_adjacency(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 3 = 0").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
     c = e.where("event_type = 'view'").select("user_id", "event_id", (F.col("k") - 2).alias("first"), F.col("k").alias("last"))
     f = e.where("event_type = 'click'").select("user_id", F.col("k").alias("f_first"), (F.col("k") + 5).alias("f_last"))
     return context.adjacent(c, f, ["user_id"])
@@ -686,12 +686,12 @@ def rejected_memory(spark, sf_dir):
 @query()
 def deferred_validation(spark, sf_dir):
     """Users' events as edits over benchmark items; tests hold it against a plain loop and the stream."""
-    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 40).alias("item"), "text").groupBy("item").agg(F.min("text").alias("text"))
+    b = table(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % 40).alias("item")).agg(F.sort_array(F.collect_list("text")).alias("texts")).withColumn("text", F.get("texts", F.lit(0)))
     e = edits(spark, sf_dir).withColumn("item", F.col("user_id") % 40).join(b, "item")
     kind = F.when(F.col("event_type") == "purchase", "response").when(F.col("event_type") == "signup", "leave").otherwise("move")
     col = (F.col("k") % 12).cast("int")
     line = F.when(F.col("id") % 11 == 0, F.concat(F.lit("?"), "text")).otherwise(F.col("text"))
-    rows = machine.as_events(e, buffer_id=F.col("user_id"), ts=F.col("ts").cast("timestamp"), kind=kind, request_id=F.col("id").cast("string"), row=F.when(F.col("id") % 13 == 0, 2).otherwise(1), col=F.when(kind == "response", 0).otherwise(col), line=line, candidates=F.array("text", F.upper("text")))
+    rows = machine.as_events(e, buffer_id=F.col("user_id"), ts=F.col("ts").cast("timestamp"), kind=kind, request_id=F.col("id").cast("string"), row=F.when(F.col("id") % 13 == 0, 2).otherwise(1), col=F.when(kind == "response", 0).otherwise(col), line=line, candidates=F.col("texts"))
     return machine.validated(rows, idle_ms=86_400_000)
 
 
