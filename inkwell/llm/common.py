@@ -1,15 +1,15 @@
-"""What the operators of this subpackage share: the shared folder, text classes and hashing."""
+"""What the operators of this subpackage share: text classes, sessions for Python workers, columns of any name."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources.shared import shared_folder, written  # noqa: F401
+
 #: White space of all contracts (code points 0x20 and 0x09 to 0x0D) and a maximal run of anything else.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,30 +18,6 @@ BATCH_BYTES = "4m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local tests, is a
-    temporary folder made and remembered in the session.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation of what led here.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/inkwell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shielded(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all columns but ``own`` under names that nothing else has, and the way back to its own columns."""
     names = docs.columns
