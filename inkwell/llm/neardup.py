@@ -17,8 +17,8 @@ from .common import written
 #: Each of HASHES permutations gives its minimum and its maximum, so BANDS * ROWS is twice HASHES. A pair at
 #: similarity 0.8 is missed by all bands with a chance of (1 - 0.8**5)**32, about 3 in a million.
 HASHES, BANDS, ROWS = 80, 32, 5
-#: All pairs of buckets up to this size are compared; members of larger ones with HUBS others a round, until a round finds no link.
-SMALL, HUBS = 24, 4
+#: All pairs of buckets up to this size are compared; members of larger ones with HUBS others in each of ROUNDS.
+SMALL, HUBS, ROUNDS = 24, 4, 2
 #: So many ids (8 bytes each) may be sent to all executors; more are joined by shuffling.
 FEW_IDS = 1_000_000
 
@@ -100,7 +100,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have 100 * intersection >= ``similar`` * union."""
-    x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("body").alias("x")), "a")
+    x = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("body").alias("x")), "a")
     x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
     kind = x.schema["a"].dataType.simpleString()
 
@@ -155,8 +155,16 @@ def order(seed: int) -> Column:
     return F.struct(F.xxhash64(F.lit(seed), F.col("doc")).alias("h"), F.col("doc").alias("doc"), F.col("c").alias("c"), F.col("alone").alias("alone"))
 
 
+def relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc, component) after components met: ``roots`` maps a component, or a document by itself, to the one it is part of."""
+    r = roots.select(F.col("doc").alias("old"), F.col("component").alias("root"))
+    inside = labels.join(r, labels["component"] == r["old"], "left").select("doc", F.coalesce("root", "component").alias("component"))
+    alone = roots.join(labels.select("doc"), "doc", "left_anti")
+    return inside.unionByName(alone)
+
+
 def candidates(members: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """(a, b), a > b: pairs of different components in the buckets (key, doc, n) that still hold several.
+    """(a, b, ca, cb), a > b: pairs of different components and these in the buckets (key, doc, n) that still hold several.
 
     Small buckets give all such pairs. Of a large one, HUBS members, another choice each round, are paired
     with all others, so its pairs grow with its size and not with the square of it.
@@ -166,11 +174,13 @@ def candidates(members: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
     open_ = m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *[F.min(order(seed + i)).alias(f"h{i}") for i in range(HUBS)]).where("c0 <> c1")
     m = m.join(open_.drop("c0", "c1"), "key")
     small = m.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("doc", "c")).alias("all"))
-    p = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.doc > y.doc and x.c <> y.c").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    p = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.doc > y.doc and x.c <> y.c").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
     # only hubs of other components, before they become rows; a lone hub meets its bucket's components as a member
     hubs = F.filter(F.array(*[F.col(f"h{i}") for i in range(HUBS)]), lambda h: (h["c"] != F.col("c")) & (F.col("alone") | ~h["alone"]))
-    large = m.where(F.col("n") > SMALL).select("doc", F.explode(F.array_distinct(F.transform(hubs, lambda h: h["doc"]))).alias("hub")).distinct()
-    return p.unionByName(large.select(F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("b"))).distinct()
+    large = m.where(F.col("n") > SMALL).select("doc", "c", F.explode(F.array_distinct(F.transform(hubs, lambda h: F.struct(h["doc"].alias("doc"), h["c"].alias("c"))))).alias("hub")).distinct()
+    first = F.col("doc") > F.col("hub.doc")
+    pair = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("doc", "hub.doc", "a"), ("hub.doc", "doc", "b"), ("c", "hub.c", "ca"), ("hub.c", "c", "cb"))]
+    return p.unionByName(large.select(*pair)).distinct()
 
 
 def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
@@ -184,7 +194,7 @@ def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
     Exact copies (equal word sequences) are settled by one aggregation and only their smallest ids go on. Of
     these, documents that share a band key meet in a bucket. First each is compared with the one smallest
     member that it meets most often; then, round by round, with others of its buckets that are not yet in its
-    component, until a round finds no link. Every link is confirmed on the full sets. What is sent is keys, sets of documents that meet
+    component; what is linked there joins whole components. Every link is confirmed on the full sets. What is sent is keys, sets of documents that meet
     any other, and links, never all pairs of a large bucket.
     """
     sig = written(signatures(docs), "signatures")
@@ -203,16 +213,13 @@ def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
     tried = written(first, "pairs")
     ids = written(members.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     sets = written(full_sets(only(docs.select("doc_id", "text"), ids)), "sets")
-    edges = written(linked(tried, sets, similar), "links")
-    labels = components(edges)
-    seed = 0
-    while True:
-        more = written(candidates(members.select("key", "doc", "n"), labels, seed).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = written(linked(more, sets, similar), "links")
-        if found.isEmpty():
-            break
-        tried, edges, seed = tried.unionByName(more), edges.unionByName(found), seed + HUBS
-        labels = components(edges)
+    labels = written(components(written(linked(tried, sets, similar), "links")), "labels")
+    for r in range(ROUNDS):
+        more = written(candidates(members.select("key", "doc", "n"), labels, r * HUBS).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        found = written(linked(more, sets, similar).join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+        if not found.isEmpty():
+            labels = written(relabelled(labels, components(found)), "labels")
+        tried = tried.select("a", "b").unionByName(more.select("a", "b"))
     c = own.join(labels, own["first"] == labels["doc"], "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
     c = c.unionByName(labels.join(own.select(F.col("doc_id").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("doc_id"), F.col("component").alias("component_id"))).distinct()
     out = sig.select("doc_id", "n_shingles").join(c.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").drop("of")
