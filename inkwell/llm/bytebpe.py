@@ -5,12 +5,14 @@ from __future__ import annotations
 import base64
 import codecs
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from .arrow import pieces
 
 #: Two blanks together, or one at an end: such texts are encoded in one go, others word by word.
 ROUGH = re.compile(r"^\s|\s\s|\s$")
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, in each of two generations, and single matches.
 MOST_WORDS = 100_000
 
 
@@ -67,14 +69,46 @@ class Codec:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(by_id), np.uint8)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+        self.chars = chars
+        self.pattern = regex.compile(pattern)
+        self.plain = self.pattern.findall(" Abc") == [" Abc"]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def merge(self, text: str) -> bytes:
+        """Ids of one match of the pattern: its bytes' characters through the library's model."""
+        name = "Ġ" + text[1:] if text[0] == " " and text.isascii() else "".join([self.chars[b] for b in text.encode("utf-8")])
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
+
+    def match(self, text: str) -> bytes:
+        """As merge, remembered: of a word with a blank where words are, else by itself."""
+        got = self.words.get(text[1:]) if text[0] == " " else self.matches.get(text)
+        if got is None:
+            got = self.merge(text)
+            if text[0] != " ":
+                if len(self.matches) > MOST_WORDS:
+                    self.matches.clear()
+                self.matches[text] = got
+        return got
+
     def learn(self, words: list[str]) -> None:
-        """Ids of these words, each with a blank before it. Offsets tell whose they are."""
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
+        """Ids of these words, each with a blank before it.
+
+        Letters alone are one match; in other printable ASCII the pattern's matches are found here, where no
+        engine can differ on classes; the rest go through the library's splitting, and offsets tell whose
+        ids are whose.
+        """
+        rest = []
+        for w in words:
+            if w.isascii() and w.isprintable():
+                self.words[w] = self.merge(" " + w) if w.isalpha() and self.plain else b"".join([self.match(m) for m in self.pattern.findall(" " + w)])
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 5000):
+            some = rest[at : at + 5000]
             got = self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
             begin = np.cumsum([0, *(len(w) + 1 for w in some)])
             starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
@@ -87,16 +121,20 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         A blank between two other characters always begins a match of the pattern or stands alone before
-        one, never inside; so texts are cut there and words that come again are not encoded again.
+        one, never inside; so texts are cut there and words that come again are not encoded again. Words met
+        in this generation or the one before are remembered.
         """
         cut = [None if ROUGH.search(t) else t.split(" ") for t in texts]
-        new = set().union(*(c[1:] for c in cut if c))
-        missing = [w for w in new if w not in self.words]
-        if len(self.words) + len(missing) > MOST_WORDS:
-            self.words.clear()
-            missing = list(new)
-        self.learn(missing)
-        known = self.words
+        if len(self.words) > MOST_WORDS:
+            self.older, self.words = self.words, {}
+        known, older, new = self.words, self.older, []
+        for w in set().union(*[c[1:] for c in cut if c]):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        self.learn(new)
         return [self.whole(t) if c is None else self.whole(c[0]) + b"".join([known[w] for w in c[1:]]) for t, c in zip(texts, cut)]
 
     def decode(self, ids: bytes) -> bytes:
