@@ -6,6 +6,8 @@ A null argument gives null unless said otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ def tail(ls: Column, start: Column | int) -> Column:
     return F.slice(ls, start, F.greatest(F.size(ls), F.lit(1)))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip_fences(t: Column) -> Column:
     """Drops a first line that begins with a fence, left-trimming the next, and a last line that does.
 
@@ -74,15 +81,21 @@ def strip_overlap(t: Column, before: Column, after: Column) -> Column:
 
     One character a line turns both runs into anchored patterns.
     """
-    ls = lines(t)
-    t_ls = F.transform(ls, trimmed)
-    b, a = line_set(before), line_set(after)
-    lead = F.array_join(F.transform(t_ls, lambda x: F.when((x != "") & F.array_contains(b, x), "B").otherwise("-")), "")
-    start = F.length(F.regexp_extract(lead, "^B+", 0))
-    kinds = F.transform(F.reverse(tail(t_ls, start + 1)), lambda x: F.when((x == "") | F.array_contains(a, x), "S").when(F.octet_length(x) <= 2, "T").otherwise("L"))
-    end = F.length(F.regexp_extract(F.array_join(kinds, ""), "^T{0,2}S+", 0))
-    left = F.size(ls) - start - end
-    return F.when(((start == 0) & (end == 0)) | (left <= 0), t).otherwise(joined(F.slice(ls, start + 1, F.greatest(left, F.lit(0)))))
+
+    def cut(v: Column) -> Column:
+        lead = F.array_join(F.transform(v["trimmed"], lambda x: F.when((x != "") & F.array_contains(v["before"], x), "B").otherwise("-")), "")
+        return let(F.length(F.regexp_extract(lead, "^B+", 0)), lambda start: both(v, start))
+
+    def both(v: Column, start: Column) -> Column:
+        kinds = F.transform(F.reverse(tail(v["trimmed"], start + 1)), lambda x: F.when((x == "") | F.array_contains(v["after"], x), "S").when(F.octet_length(x) <= 2, "T").otherwise("L"))
+        return let(F.length(F.regexp_extract(F.array_join(kinds, ""), "^T{0,2}S+", 0)), lambda end: kept(v, start, end))
+
+    def kept(v: Column, start: Column, end: Column) -> Column:
+        left = F.size(v["lines"]) - start - end
+        return F.when(((start == 0) & (end == 0)) | (left <= 0), t).otherwise(joined(F.slice(v["lines"], start + 1, F.greatest(left, F.lit(0)))))
+
+    parts = let(lines(t), lambda ls: F.struct(ls.alias("lines"), F.transform(ls, trimmed).alias("trimmed"), line_set(before).alias("before"), line_set(after).alias("after")))
+    return let(parts, cut)
 
 
 def postprocessed(completions: Column, before: Column, after: Column) -> Column:
