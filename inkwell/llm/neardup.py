@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,11 @@ from .common import written
 #: Each of HASHES permutations gives its minimum and its maximum, so BANDS * ROWS is twice HASHES. A pair at
 #: similarity 0.8 is missed by all bands with a chance of (1 - 0.8**5)**32, about 3 in a million.
 HASHES, BANDS, ROWS = 80, 32, 5
-#: All pairs of buckets up to this size are compared; members of larger ones with HUBS others in each of ROUNDS.
+#: All pairs of buckets up to this size are compared; members of larger ones with HUBS others in each of ROUNDS,
+#: and what is then still in several components all with all.
 SMALL, HUBS, ROUNDS = 24, 4, 2
+#: Documents and shingles in a block of such members, about, and columns that a product of two blocks takes at once.
+BLOCK, BLOCK_SHINGLES, WIDTH = 1024, 400_000, 4096
 #: So many ids (8 bytes each) may be sent to all executors; more are joined by shuffling.
 FEW_IDS = 1_000_000
 
@@ -183,6 +187,96 @@ def candidates(members: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
     return p.unionByName(large.select(*pair)).distinct()
 
 
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc, c, hub): members of the large buckets (key, doc, n) that still hold several components, with the bucket's smallest."""
+    m = members.where(F.col("n") > SMALL).join(labels.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
+    ends = m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc").alias("hub")).where("c0 <> c1")
+    return m.join(ends, "key").select("doc", "c", "hub").distinct()
+
+
+def across(open_: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b): components of documents that ``open_`` (doc, c, hub) ties together and that a pair of similar documents links.
+
+    Documents that buckets tie together are dealt by size class and, where a component is large, by it, into
+    blocks. Blocks whose sizes can be similar meet, unless both are of one component, and all their pairs are
+    counted by matrix products; each two blocks give a spanning forest of the components that they link.
+    """
+    tied = written(components(open_.select(F.col("doc").alias("a"), F.col("hub").alias("b"))), "tied")
+    d = open_.select("doc", "c").distinct().join(tied.withColumnRenamed("component", "s"), "doc")
+    step = max(math.log(100 / similar) * 1.0001, 1e-3) if similar else math.inf
+    d = d.join(sets.select(F.col("doc_id").alias("doc"), (F.octet_length("body") / 8).cast("long").alias("size")).distinct(), "doc")
+    d = d.withColumn("class", F.floor(F.log("size") / F.lit(step)).cast("long"))
+    big = d.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK // 4).select("s", "c", F.concat(F.lit("c"), "c").alias("lot"))
+    d = written(d.join(F.broadcast(big), ["s", "c"], "left").withColumn("lot", F.coalesce("lot", F.lit(""))), "open")
+    lots = d.groupBy("s", "lot", "class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    name = F.concat_ws(":", "class", "part", "lot")
+    blocks = lots.select("s", "lot", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("s", "lot", "class", name.alias("block"))
+    x, y = (blocks.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("lot", "class", "block")]) for k in "xy")
+    meet = x.join(y, "s").where("block_x <= block_y and abs(class_x - class_y) <= 1 and (lot_x = '' or lot_x <> lot_y)")
+    meet = written(meet.select("s", "block_x", "block_y", F.concat_ws("|", "s", "block_x", "block_y").alias("pair")), "meet")
+    sides = meet.select("s", F.col("block_x").alias("block"), "pair", F.lit(False).alias("right")).unionByName(meet.where("block_x <> block_y").select("s", F.col("block_y").alias("block"), "pair", F.lit(True).alias("right")))
+    placed = d.join(lots, ["s", "lot", "class"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).select("s", name.alias("block"), "doc", "c", "size")
+    bodies = placed.join(sets.select(F.col("doc_id").alias("doc"), "body"), "doc").where("octet_length(body) = 8 * size").select("s", "block", "c", "body")
+    kind = open_.schema["c"].dataType.simpleString()
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        coded = rows.column("c").combine_chunks().dictionary_encode()
+        c, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        right = np.array(rows.column("right").to_pylist(), bool)
+        found = similar_rows([np.frombuffer(b.as_buffer(), np.uint64) for b in rows.column("body")], right, c, similar)
+        return pa.table({"a": names.take(pa.array([i for i, _ in found], pa.int32())), "b": names.take(pa.array([j for _, j in found], pa.int32()))})
+
+    return bodies.join(sides, ["s", "block"]).select("pair", "right", "c", "body").groupBy("pair").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def similar_rows(sets: list[np.ndarray], right: np.ndarray, c: np.ndarray, similar: int) -> list[tuple[int, int]]:
+    """A spanning forest of the components ``c`` that similar sets of the two sides link; without a right side, all meet all."""
+    left, right = np.flatnonzero(~right), np.flatnonzero(right)
+    if not len(right):
+        right = left
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    sides = []
+    for rows in (left, right):
+        at = np.concatenate([column[ends[i] - sizes[i] : ends[i]] for i in rows])
+        sides.append((np.repeat(np.arange(len(rows)), sizes[rows]), at))
+    counts = [np.bincount(at, minlength=len(values)) for _, at in sides]
+    shared = (counts[0] > 0) & (counts[1] > 0) & (counts[0] + counts[1] > 1 + (left is right))
+    # in a block that meets itself, a shingle of one document counts twice for it and is of no other
+    new = np.cumsum(shared) - 1
+    sides = [(row[shared[at]], new[at[shared[at]]]) for row, at in sides]
+    sides = [(row[o], at[o]) for row, at in sides for o in [np.argsort(at, kind="stable")]]
+    common = np.zeros((len(left), len(right)))
+    for first in range(0, int(shared.sum()), WIDTH):
+        dense = []
+        for n, (row, at) in zip((len(left), len(right)), sides):
+            a, b = np.searchsorted(at, (first, first + WIDTH))
+            m = np.zeros((n, WIDTH), np.float32)
+            m[row[a:b], at[a:b] - first] = 1
+            dense.append(m)
+        common += dense[0] @ dense[1].T
+    total = sizes[left][:, None] + sizes[right][None, :] - common
+    i, j = np.nonzero((common > 0) & (100 * common >= similar * total) & (c[left][:, None] != c[right][None, :]))
+    pairs = np.unique(np.stack([np.minimum(c[left[i]], c[right[j]]), np.maximum(c[left[i]], c[right[j]])], 1), axis=0).tolist()
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := parent.get(v, v)) != v:
+            parent[v] = parent.get(up, up)
+            v = up
+        return v
+
+    out = []
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
 def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -194,8 +288,9 @@ def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
     Exact copies (equal word sequences) are settled by one aggregation and only their smallest ids go on. Of
     these, documents that share a band key meet in a bucket. First each is compared with the one smallest
     member that it meets most often; then, round by round, with others of its buckets that are not yet in its
-    component; what is linked there joins whole components. Every link is confirmed on the full sets. What is sent is keys, sets of documents that meet
-    any other, and links, never all pairs of a large bucket.
+    component; what is linked there joins whole components. Large buckets that then still hold several components
+    are compared all with all, in blocks. Every link is confirmed on the full sets. What is sent is keys, sets of
+    documents that meet any other, blocks of sets, and links, never single pairs of a large bucket.
     """
     sig = written(signatures(docs), "signatures")
     with_words = sig.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
@@ -220,6 +315,11 @@ def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
         if not found.isEmpty():
             labels = written(relabelled(labels, components(found)), "labels")
         tried = tried.select("a", "b").unionByName(more.select("a", "b"))
+    rest = written(unsettled(members, labels), "unsettled")
+    if not rest.isEmpty():
+        found = written(across(rest, sets, similar), "links")
+        if not found.isEmpty():
+            labels = written(relabelled(labels, components(found)), "labels")
     c = own.join(labels, own["first"] == labels["doc"], "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
     c = c.unionByName(labels.join(own.select(F.col("doc_id").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("doc_id"), F.col("component").alias("component_id"))).distinct()
     out = sig.select("doc_id", "n_shingles").join(c.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").drop("of")
