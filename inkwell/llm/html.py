@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,6 +59,7 @@ class Line:
     main: int
     tags: int
     linked: int
+    links: int
 
 
 class Events(HTMLParser):
@@ -70,7 +72,7 @@ class Events(HTMLParser):
         self.lines: list[Line] = []
         self.regions = 1
         self.text: list[str] = []
-        self.tags = self.linked = self.anchors = 0
+        self.tags = self.linked = self.links = self.anchors = 0
 
     def top(self) -> tuple[str, bool, int, int]:
         return self.open[-1] if self.open else ("", False, 0, 0)
@@ -80,8 +82,8 @@ class Events(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 _, _, region, main = self.top()
-                self.lines.append(Line(text, region, main, self.tags, self.linked))
-                self.tags = self.linked = 0
+                self.lines.append(Line(text, region, main, self.tags, self.linked, self.links))
+                self.tags = self.linked = self.links = 0
             self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -102,6 +104,7 @@ class Events(HTMLParser):
                 main = region
             if tag == "a":
                 self.anchors += 1
+                self.links += 1
         self.open.append((tag, skipped, region, main))
         self.count[tag] += 1
 
@@ -163,7 +166,8 @@ def chosen(lines: list[Line]) -> list[Line]:
     Each line's ratio of unlinked characters to tags is smoothed over its neighbours. Lines above the
     standard deviation of the smoothed ratios form the content cluster, and a region is content if it has
     one. Where an article or main element holds text, it is the region of all its lines and others' lines
-    do not compete. A content region is taken whole: short lines within it are main text too.
+    do not compete. A content region is taken whole: short lines within it are main text too. So are other
+    regions between content ones and next to them, up to the first list of links: blocks in elements of their own.
     """
     if any(x.main for x in lines):
         lines = [x for x in lines if x.main]
@@ -181,7 +185,25 @@ def chosen(lines: list[Line]) -> list[Line]:
     least = min(max(spread, mean / 2), max(smooth))
     of = [x.main or x.region for x in lines]
     content = {r for r, s in zip(of, smooth) if s >= least}
-    return [x for x, r in zip(lines, of) if r in content]
+    runs = [list(g) for _, g in groupby(zip(lines, of), key=lambda x: x[1])]
+    kinds = ["content" if g[0][1] in content else "linked" if mostly_linked([x for x, _ in g]) else "plain" for g in runs]
+    at = 0
+    for kind, same in groupby(list(kinds)):
+        end = at + len(list(same))
+        # one link alone, as an author's, makes no list
+        if kind == "linked" and sum(x.links for g in runs[at:end] for x, _ in g) < 2:
+            kinds[at:end] = ["plain"] * (end - at)
+        at = end
+    first, last = kinds.index("content"), len(kinds) - 1 - kinds[::-1].index("content")
+    while first and kinds[first - 1] == "plain":
+        first -= 1
+    while last + 1 < len(kinds) and kinds[last + 1] == "plain":
+        last += 1
+    return [x for g, kind in zip(runs[first : last + 1], kinds[first : last + 1]) if kind != "linked" for x, _ in g]
+
+
+def mostly_linked(lines: list[Line]) -> bool:
+    return 2 * sum(x.linked for x in lines) >= sum(len(x.text) - x.text.count(" ") for x in lines)
 
 
 def main_text(html: str) -> str:
