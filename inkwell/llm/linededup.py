@@ -32,8 +32,8 @@ def keep_maps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_D
 
     Lines become 128-bit hashes. Each task first counts a hash's documents and keeps the largest id, so a
     line that a third of all documents share reaches the shuffle as one row a task and salt. Those partial
-    rows are partitioned by ranges of the hash and sorted; a range's stream then gives each hash its total
-    and its first occurrence in the order document descending, position: the holder that keeps its lines.
+    rows are partitioned by ranges of the hash; a hash aggregate then gives each hash its total and its
+    largest document, the holder that keeps its lines. It needs no order, and Catalyst removes the sort before it.
     Hashes in ``min_docs`` documents or more go back to the lines by a join that Spark can split where one
     hash is hot. Ids are taken as unique; rows that repeat an id count as one document. Rows without an id
     neither lose lines nor count.
