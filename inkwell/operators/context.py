@@ -159,11 +159,13 @@ def ancestors(nodes: DataFrame, kinds: tuple[str, ...] | None = None, most: int
     """(id, n_parents, content): each node's ancestors, outermost first, of nodes (id, parent, type, text).
 
     Going up, ancestors of ``kinds`` (all if None) are taken until ``most`` are, or one would take the total
-    size over ``budget``. One join a level; without kinds, ``most`` levels settle it.
+    size over ``budget``. One join a level; without kinds, ``most`` levels settle it. With kinds, and ``levels``
+    not given, it climbs until nothing is open, and each level is written so that none is computed twice.
     """
     up = nodes.select(F.col("id").alias("_at"), F.col("parent").alias("_up"), F.col("type").alias("_type"), F.col("text").alias("_text"))
     state = nodes.select("id", F.col("parent").alias("at"), F.array().cast("array<string>").alias("parts"), F.lit(0).alias("size"), F.lit(False).alias("done"))
-    for _ in range(levels or most):
+    open_ended = kinds is not None and levels is None
+    for _ in range(nodes.count() if open_ended else levels or most):
         s = state.join(up, F.col("at") == F.col("_at"), "left")
         wanted = F.col("_at").isNotNull() & ~F.col("done")
         if kinds is not None:
@@ -175,6 +177,10 @@ def ancestors(nodes: DataFrame, kinds: tuple[str, ...] | None = None, most: int
         size = F.col("size") + F.when(take, F.length("_text")).otherwise(0)
         done = F.col("done") | F.coalesce(wanted & ~fits, F.lit(False)) | (F.size(parts) >= most) | (size >= budget)
         state = s.select("id", F.col("_up").alias("at"), parts.alias("parts"), size.alias("size"), done.alias("done"))
+        if open_ended:
+            state = written(state, "ancestors")
+            if state.where(F.col("at").isNotNull() & ~F.col("done")).isEmpty():
+                break
     return state.select("id", F.size("parts").cast("long").alias("n_parents"), F.array_join("parts", "\n\n").alias("content"))
 
 
