@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, ascii_lower, shielded, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Parts into which the counts of one line are split before they meet.
-SALTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -17,43 +15,59 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, k1, k2, at): one row per line of at least ``min_chars``; k1 and k2 are 128 bits of its key."""
-    lines = docs.where(F.length("text") >= min_chars).select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
-    lines = lines.where(F.length("line") >= min_chars).select("doc_id", "at", F.btrim(F.col("line"), F.lit(SPACES)).alias("line"))
-    lines = lines.where(F.length("line") >= min_chars).select("doc_id", "at", ascii_lower(F.col("line")).alias("key"))
-    return lines.select("doc_id", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"), "at")
+    """(doc_id, th, k1, k2, at): one row per line of at least ``min_chars``; th is the text's hash, k1 and k2 are 128 bits of the line's key."""
+    lines = docs.where(F.length("text") >= min_chars).select("doc_id", text_hash(F.col("text")).alias("th"), F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    lines = lines.where(F.length("line") >= min_chars).withColumn("line", F.btrim(F.col("line"), F.lit(SPACES)))
+    lines = lines.where(F.length("line") >= min_chars).select("doc_id", "th", "at", ascii_lower(F.col("line")).alias("key"))
+    return lines.select("doc_id", "th", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("second"), "key").alias("k2"), "at")
+
+
+def shared_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(k1, k2, holder): hashes that ``min_docs`` documents or more hold, and the largest doc_id that does.
+
+    Rows are dealt once, by hash and a salt of the document, so that a line of a third of all documents spreads
+    over all tasks and yet one task has all rows of a document and hash. Each task counts a hash's documents and
+    keeps the largest with its first position there. These partial rows, at most one per hash and salt, are
+    partitioned by ranges of the hash and sorted by hash, document (largest first) and position; two windows
+    stream over that order: the first row of a hash is its holder, the sum its number of documents.
+    """
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.select("k1", "k2", F.pmod(F.hash("doc_id"), F.lit(parts)).alias("salt"), "doc_id", "at").repartition(parts, "k1", "k2", "salt")
+    once = dealt.groupBy("k1", "k2", "salt", "doc_id").agg(F.min("at").alias("at"))
+    part = once.groupBy("k1", "k2", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder"), F.max_by("at", "doc_id").alias("at"))
+    ranged = part.repartitionByRange(parts, "k1", "k2")
+    by_key = Window.partitionBy("k1", "k2").orderBy(F.col("holder").desc(), "at")
+    every = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = ranged.select("k1", "k2", "holder", F.row_number().over(by_key).alias("place"), F.sum("n").over(every).alias("docs"))
+    return seen.where((F.col("place") == 1) & (F.col("docs") >= min_docs)).select("k1", "k2", "holder")
 
 
 def keep_maps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, n_dropped, gaps): per document that loses lines, its keep bitmap, compressed.
+    """(doc_id, th, n_dropped, gaps): per document and text that loses lines, its keep bitmap, compressed.
 
     ``gaps`` has one number per dropped line: how many kept lines stand before it since the last one.
 
-    Lines become 128-bit hashes. Each task first counts a hash's documents and keeps the largest id, so a
-    line that a third of all documents share reaches the shuffle as one row a task and salt. Those partial
-    rows are partitioned by ranges of the hash; a hash aggregate then gives each hash its total and its
-    largest document, the holder that keeps its lines. It needs no order, and Catalyst removes the sort before it.
-    Hashes in ``min_docs`` documents or more go back to the lines by a join that Spark can split where one
-    hash is hot. Ids are taken as unique; rows that repeat an id count as one document. Rows without an id
-    neither lose lines nor count.
+    Hashes of shared lines go back to the lines by a join that Spark can split where one hash is hot. Rows that
+    repeat an id count as one document; each of its texts has a map of its own. Rows without an id neither lose
+    lines nor count. Very long texts and lines only ever pass as hashes.
     """
-    spark = docs.sparkSession
     lines = written(long_lines(docs.where(F.col("doc_id").isNotNull()), min_chars), "lines")
-    once = lines.groupBy("k1", "k2", "doc_id").agg(F.lit(1).alias("one"))
-    part = once.groupBy("k1", "k2", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder"))
-    ranged = part.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "k1", "k2").sortWithinPartitions("k1", "k2", F.col("holder").desc())
-    total = ranged.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder")).where(F.col("n") >= min_docs)
-    hit = lines.join(total.select("k1", "k2", "holder"), ["k1", "k2"]).where(F.col("doc_id") != F.col("holder"))
-    drops = hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("drops"))
+    hit = lines.join(shared_lines(lines, min_docs), ["k1", "k2"]).where(F.col("doc_id") != F.col("holder"))
+    drops = hit.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("at")).alias("drops"))
     gaps = F.transform("drops", lambda x, i: F.when(i == 0, x).otherwise(x - F.get("drops", i - 1) - 1))
-    return drops.select("doc_id", F.size("drops").cast("long").alias("n_dropped"), gaps.alias("gaps"))
+    return drops.select("doc_id", "th", F.size("drops").cast("long").alias("n_dropped"), gaps.alias("gaps"))
 
 
 def apply_maps(docs: DataFrame, maps: DataFrame) -> DataFrame:
     """``docs`` with n_lines, n_dropped and kept_text (a null text gives an empty one)."""
-    m = maps.select(F.col("doc_id").alias("map_doc"), "n_dropped", "gaps")
-    d = docs.join(m, docs["doc_id"] == m["map_doc"], "left").drop("map_doc")
+    m = maps.select(F.col("doc_id").alias("map_doc"), F.col("th").alias("map_th"), "n_dropped", "gaps")
+    d = docs.join(m, (docs["doc_id"] == m["map_doc"]) & (text_hash(docs["text"]) == m["map_th"]), "left").drop("map_doc", "map_th")
     lines = lines_of(F.col("text"))
     runs = F.flatten(F.transform("gaps", lambda g: F.concat(F.array_repeat(F.lit(True), g), F.array(F.lit(False)))))
     d = d.withColumn("flags", runs)
@@ -67,7 +81,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     A line's key is the line stripped of white space at both ends, A-Z lowered. Keys of ``min_chars`` code
     points or more that ``min_docs`` documents or more hold lose all their lines except in the largest
-    doc_id that holds them. Other lines stay as they are, in order. An empty table gives an empty result.
+    doc_id that holds them. Other lines stay as they are, in order. Null and empty texts have one empty line,
+    which stays. Texts of any length are whole. Rows that repeat an id are one document when keys are counted, and
+    each loses its own shared lines only. An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     names = docs.columns
