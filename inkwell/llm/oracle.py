@@ -51,9 +51,8 @@ c AS (SELECT doc, min(other) AS component FROM reach GROUP BY doc)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc = d.doc_id"""
 
 _RISK = rules.Risk()
-_TESTS = (len(rules.BANDS) + 1) * len(rules.RATIOS) * len(rules.GRID)
-_ALPHA, _DELTA = _RISK.alpha / len(rules.RATIOS), _RISK.delta / _TESTS
-_BAND = f"CASE WHEN n_words < {rules.BANDS[0]} THEN 0 WHEN n_words < {rules.BANDS[1]} THEN 1 WHEN n_words < {rules.BANDS[2]} THEN 2 ELSE 3 END"
+_ALPHA, _DELTA = _RISK.alpha, _RISK.delta / ((len(rules.BANDS) + 1) * len(rules.RATIOS))
+_BAND = f"CASE WHEN n_words < {rules.BANDS[0]} THEN 0 WHEN n_words < {rules.BANDS[1]} THEN 1 ELSE 2 END"
 
 RULES = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS w, string_split(coalesce(text, ''), {NL}) AS ls FROM documents),
@@ -64,10 +63,13 @@ m AS (SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
   CAST(len(tl) - len(list_distinct(tl)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(tl) AS n_text_lines FROM l LEFT JOIN r ON r.doc_id = l.doc_id),
 b AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_BAND} AS band FROM m),
 v AS (SELECT doc_id, band, base_failed, rule, val FROM b, LATERAL (VALUES ('s', n_symbols / greatest(word_chars, 1)), ('d', n_dup_lines / greatest(n_text_lines, 1)), ('r', n_repeat_words / greatest(n_words, 1))) x(rule, val)),
-h AS (SELECT band, rule, c, count(*) AS n, count(*) FILTER (WHERE val > c) AS k FROM v, (VALUES {', '.join(f'(CAST({c} AS DOUBLE))' for c in rules.GRID)}) y(c)
-  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY band, rule, c),
-q AS (SELECT band, rule, min(c) AS cut FROM h WHERE k < {_ALPHA!r} * n AND
-  list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_ALPHA!r}) + (n - j) * ln(1 - {_ALPHA!r})))) <= {_DELTA!r} GROUP BY band, rule),
+a AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+h AS (SELECT band, rule, c, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 0) AS n0, count(*) FILTER (WHERE quality = 1 AND val > c) AS k, count(*) FILTER (WHERE quality = 0 AND val > c) AS k0
+  FROM v JOIN a ON a.doc_id = v.doc_id, (VALUES {', '.join(f'(CAST({c} AS DOUBLE))' for c in rules.GRID)}) y(c) WHERE NOT base_failed GROUP BY band, rule, c),
+o AS (SELECT *, k < {_ALPHA!r} * n AND
+  list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_ALPHA!r}) + (n - j) * ln(1 - {_ALPHA!r})))) <= {_DELTA!r} AS safe FROM h),
+f AS (SELECT *, bool_and(safe) OVER (PARTITION BY band, rule ORDER BY c DESC) AS passed, CASE WHEN n0 > 0 THEN k0 / n0 - k / n ELSE -c END AS gain FROM o),
+q AS (SELECT band, rule, arg_max(c, (gain, c)) AS cut FROM f WHERE passed GROUP BY band, rule),
 z AS (SELECT DISTINCT v.doc_id FROM v JOIN q ON q.band = v.band AND q.rule = v.rule WHERE val > cut)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.doc_id NOT IN (SELECT doc_id FROM z) AS kept FROM b"""
 

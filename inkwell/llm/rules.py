@@ -12,8 +12,8 @@ from .common import SPACES, word_list, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Upper bounds of the strata, in words. Strata are bands of length, so there are always four.
-BANDS = (200, 1000, 5000)
+#: Upper bounds of the strata, in words. Strata are bands of length, so there are always three.
+BANDS = (200, 2000)
 #: A document is rejected where one of these exceeds the stratum's cutoff.
 RATIOS = {
     "symbol_share": lambda: F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
@@ -25,9 +25,9 @@ GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7)
 
 @dataclass
 class Risk:
-    """At most ``alpha`` of a stratum's good documents are rejected, with confidence 1 - ``delta`` for all strata, rules and cutoffs together."""
+    """What is promised: with confidence 1 - ``delta`` for all strata and rules together, each rule rejects at most ``alpha`` of a stratum's good documents."""
 
-    alpha: float = 0.01
+    alpha: float = 0.03
     delta: float = 0.05
     grid: tuple = field(default=GRID)
 
@@ -98,35 +98,48 @@ def surely_below(rejected: int, n: int, alpha: float, delta: float) -> bool:
     return log + math.log(total) <= math.log(delta)
 
 
-def cutoffs(held: DataFrame, risk: Risk) -> dict[tuple[int, str], float]:
-    """(stratum, rule) to the lowest safe cutoff, from metrics of documents known to be good.
+def cutoffs(known: DataFrame, risk: Risk) -> dict[tuple[int, str], float]:
+    """(stratum, rule) to its cutoff, from metrics of documents known to be good (quality 1) or bad (0).
 
-    A rule with no safe cutoff in a stratum stays off there. What reaches the driver is one row a stratum.
-    Each rule gets an equal part of alpha, and delta is shared by all tests (Bonferroni).
+    Fixed-sequence testing: a rule's cutoffs are tested in a stratum from the loosest down, each on the good
+    documents by the exact bound, and the first that fails ends the sequence; so one sequence costs one test,
+    however long it is, and delta is shared by strata and rules alone (Bonferroni). Of the cutoffs that passed,
+    all of which keep the promise, the one is taken whose share of rejected bad documents exceeds its share of
+    rejected good ones most (ties: the loosest); the tightest where no bad document is known. What reaches the
+    driver is one row a stratum.
     """
-    sums = [F.sum((ratio() > c).cast("long")).alias(f"{name}_{i}") for name, ratio in RATIOS.items() for i, c in enumerate(risk.grid)]
-    rows = held.where(~base_failed()).groupBy(stratum().alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums).collect()
-    alpha, delta = risk.alpha / len(RATIOS), risk.delta / ((len(BANDS) + 1) * len(RATIOS) * len(risk.grid))
+    grid = sorted(risk.grid, reverse=True)
+    good = F.col("quality") == 1
+    over = [(name, i, ratio() > c) for name, ratio in RATIOS.items() for i, c in enumerate(grid)]
+    sums = [F.count_if(x & (good if q else ~good)).alias(f"{name}_{i}_{q}") for name, i, x in over for q in (0, 1)]
+    rows = known.where(~base_failed()).groupBy(stratum().alias("stratum")).agg(F.count_if(good).alias("n1"), F.count_if(~good).alias("n0"), *sums).collect()
+    delta = risk.delta / ((len(BANDS) + 1) * len(RATIOS))
     out = {}
     for r in rows:
         for name in RATIOS:
-            safe = [c for i, c in enumerate(risk.grid) if surely_below(r[f"{name}_{i}"], r["n"], alpha, delta)]
+            safe = []
+            for i, c in enumerate(grid):
+                if not surely_below(r[f"{name}_{i}_1"], r["n1"], risk.alpha, delta):
+                    break
+                safe.append((r[f"{name}_{i}_0"] / r["n0"] - r[f"{name}_{i}_1"] / r["n1"], c) if r["n0"] else (-c, c))
             if safe:
-                out[r["stratum"], name] = min(safe)
+                out[r["stratum"], name] = max(safe)[1]
     return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk | None = None) -> DataFrame:
     """Per document: doc_id, the metrics, base_failed and kept.
 
-    ``labels`` (doc_id, quality): those of quality 1 are the holdout; several labels of one document
-    count once, as good if any says so. Fewer than 50 words or more than half of the words in repeated
-    windows fail outright. Without labels, or with too few for a bound, only those base rules reject. Empty
-    texts fail. Repeated rows are judged alike. Columns other than doc_id and text are ignored.
+    ``labels`` (doc_id, quality) of 1 or 0 are the holdout; several labels of one document count once, as good
+    if any says so. Fewer than 50 words or more than half of the words in repeated windows fail outright.
+    Without labels, or with too few for a bound, only those base rules reject. Null and empty texts have no words
+    and fail; texts of any length are whole. A ratio equal to a cutoff passes. Rows that repeat are judged alike
+    and count each in the holdout. Rows without an id are judged and never in the holdout. Columns other than
+    doc_id and text are ignored; an empty table stays empty.
     """
     m = written(metrics(docs), "metrics")
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("good_doc")).distinct()
-    cut = cutoffs(m.join(good, m["doc_id"] == good["good_doc"], "left_semi"), risk or Risk())
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("known_doc")).agg(F.max("quality").alias("quality"))
+    cut = cutoffs(m.join(known, m["doc_id"] == known["known_doc"]), risk or Risk())
     bad = F.lit(False)
     for (band, name), c in sorted(cut.items()):
         bad = bad | ((stratum() == band) & (RATIOS[name]() > c))

@@ -406,3 +406,68 @@ def test_cutoffs_keep_good_documents(spark):
     good = [i for i in got if i % 10]
     assert not any(got[i].kept for i in got if i % 10 == 0)
     assert sum(got[i].kept for i in good) >= 0.99 * len(good)
+
+
+def test_cutoffs_hold_their_promise(spark):
+    """False rejections of good documents, drawn anew many times, exceed alpha in at most delta of the draws, and cutoffs are found."""
+    rnd = np.random.default_rng(3)
+    risk = rules.Risk(alpha=0.1, delta=0.2, grid=(0.02, 0.05, 0.1, 0.2, 0.3, 0.5))
+    delta = risk.delta / ((len(rules.BANDS) + 1) * len(rules.RATIOS))
+    # the true chance that a good document exceeds a cutoff c, per rule
+    true = {"symbol_share": lambda c: max(0.0, 0.25 - c), "dup_line_share": lambda c: 0.12 if c < 0.3 else 0.0, "repeat_share": lambda c: 0.5 * (c < 0.06)}
+    draws, broken, found = 300, 0, 0
+    rows = []
+    for d in range(draws):
+        for name in rules.RATIOS:
+            x = {"symbol_share": np.maximum(0, 0.25 - rnd.random(200)), "dup_line_share": np.where(rnd.random(200) < 0.12, 0.3, 0.0), "repeat_share": np.where(rnd.random(200) < 0.5, 0.06, 0.0)}[name]
+            cut = None
+            for c in sorted(risk.grid, reverse=True):
+                if not rules.surely_below(int((x > c).sum()), 200, risk.alpha, delta):
+                    break
+                cut = c
+            rows.append((d, name, cut))
+    for d in range(draws):
+        mine = [(n, c) for k, n, c in rows if k == d and c is not None]
+        found += len(mine)
+        broken += any(true[n](c) > risk.alpha for n, c in mine)
+    assert found > 2 * draws and broken <= risk.delta * draws
+
+
+def test_cutoffs_of_both_labels(spark):
+    """A sequence ends at its first failure, and of safe cutoffs the one with the largest gain is taken."""
+    rows = [(i, 100, 100, s, 0, 0, 10, q) for q, shares in ((1, [0] * 280 + [12] * 3 + [4] * 17), (0, [45] * 30 + [8] * 10)) for i, s in enumerate(shares)]
+    known = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_text_lines long, quality int")
+    got = rules.cutoffs(known, rules.Risk())
+    # 0.1 rejects 3 of 300 good and 30 of 40 bad, 0.05 all bad at the same cost; 0.02 would reject 20 of 300: too many
+    safe = [c for c in rules.GRID if rules.surely_below(sum(s > 100 * c for s in [0] * 280 + [12] * 3 + [4] * 17), 300, 0.03, 0.05 / 9)]
+    gain = {c: sum(s > 100 * c for s in [45] * 30 + [8] * 10) / 40 - sum(s > 100 * c for s in [12] * 3 + [4] * 17) / 300 for c in safe}
+    assert got[0, "symbol_share"] == max(safe, key=lambda c: (gain[c], c)) and min(safe) > 0.02
+    assert set(got) == {(0, n) for n in rules.RATIOS} and got[0, "dup_line_share"] == max(rules.GRID)
+    alone = rules.cutoffs(known.where("quality = 1"), rules.Risk())
+    assert alone[0, "symbol_share"] == min(safe) and alone[0, "dup_line_share"] == min(rules.GRID)
+
+
+def test_lines_of_repeated_ids(spark):
+    """Rows of one id with different texts lose their own shared lines and nothing else."""
+    shared = "this line is shared by many documents, word for word"
+    rows = [(1, "the first text's own line, which is long enough to count\nsecond", "s"), (1, f"{shared}\nown", "s"), (1, f"{shared}\nown", "s")] + [(i, f"x{i}\n{shared}", "s") for i in range(2, 8)]
+    got = sorted((r.doc_id, r.text, r.n_dropped, r.kept_text) for r in linededup.dedup_lines(frame(spark, rows)).collect())
+    want = sorted((i, t, int(shared in t and i != 7), t if i == 7 else t.replace(f"{shared}\n", "").replace(f"\n{shared}", "")) for i, t, _ in rows)
+    assert got == want
+
+
+def test_line_plan_streams(spark):
+    """Hashes are dealt by range, sorted by hash, document and position, and counted by a window."""
+    lines = linededup.long_lines(frame(spark, [(i, "l" * 50, "s") for i in range(9)]))
+    shared = linededup.shared_lines(lines)
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    window, sort, exchange = plan.index("Window ["), plan.index("Sort [k1"), plan.index("rangepartitioning(k1")
+    assert window < sort < exchange and "holder" in plan[sort : plan.index("\n", sort)] and "DESC" in plan[sort : plan.index("\n", sort)] and "at#" in plan[sort : plan.index("\n", sort)]
+    assert [r.holder for r in shared.collect()] == [8]
+
+
+def test_a_very_long_text_and_line(spark):
+    long = "\n".join(["shared and long enough to be a key by itself", "z" * 3_000_000, *(f"line {i} of its own" for i in range(50_000))])
+    rows = [(i, long, "s") for i in range(5)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.dedup_lines(frame(spark, rows)).select("doc_id", "n_lines", "n_dropped").collect()}
+    assert got == {i: (50_002, 0 if i == 4 else 2) for i in range(5)}
