@@ -8,9 +8,12 @@ begin, the last token before that place and how many tokens lie between. That is
 transducer; each transition carries the change in the number of tokens. States and transitions are compiled
 when first met and kept in the worker.
 
-No piece holds a blank after another character, so a blank after a non-blank returns to one fixed state.
-Texts are cut there into chunks whose state maps are therefore constant: all chunks of a batch run in
-lockstep over arrays, and a text's count is the sum over its chunks (the scan of their maps).
+Texts are cut into chunks. No piece holds a blank after another character, so a blank after a non-blank returns
+to one fixed state, and a chunk that begins there has a constant map. Where no such blank comes, as in Chinese
+or base64, chunks are cut at a fixed length, and a chunk's map goes from the states in which it may be entered
+to the states and counts that it gives. All chunks run in lockstep over arrays, first from the fixed state and
+then from whatever state the chunk before may give, until no map lacks an entry; runs from different states
+soon meet, so that is two or three passes. The maps are composed by a parallel prefix scan (pointer doubling).
 """
 
 from __future__ import annotations
@@ -26,10 +29,17 @@ from pyspark.sql import functions as F
 from .arrow import pieces
 
 BLANK = "▁"
-LANE = 192
+#: Characters of a chunk, about, and at most where no blank comes.
+LANE, LONGEST = 192, 384
 #: Above so many states a worker drops the younger half between batches, to bound its memory.
 MOST_STATES = 200_000
 MOST_PAIRS = 500_000
+#: More than any number of states in one batch.
+MOST_KEYS = 1 << 32
+#: Chunks to which a state found as an entry late is carried at once: texts that repeat themselves go round few states.
+AHEAD = 32
+#: A rank after all others.
+NEVER = 1 << 30
 
 
 class Transducer:
@@ -50,6 +60,7 @@ class Transducer:
             raise ValueError("pieces hold blanks after other characters; chunks cannot be cut at blanks")
         self.pairs: dict[tuple[str, str], bool] = {}
         self.valid: dict[str, bool] = {}
+        self.split: dict[str, tuple[str, str]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -87,12 +98,12 @@ class Transducer:
     def cost(self, char: str) -> int:
         return 1 if char in self.rank or not self.bytes else len(char.encode("utf-8", "surrogatepass"))
 
-    def merged(self, text: str) -> list[str]:
-        """The merges, plainly: for short strings while compiling."""
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """The merges, plainly, down to ``least`` parts: for pieces of the vocabulary while compiling."""
         parts = list(text)
-        while len(parts) > 1:
-            best, at = min((self.rank.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 30:
+        while len(parts) > least:
+            best, at = min((self.rank.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if best == NEVER:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
@@ -103,12 +114,41 @@ class Transducer:
             got = self.valid[text] = len(text) == 1 or text in self.rank and self.merged(text) == [text]
         return got
 
+    def halves(self, token: str) -> tuple[str, str]:
+        """The two parts of a token's last merge."""
+        got = self.split.get(token)
+        if got is None:
+            a, b = self.merged(token, 2)
+            got = self.split[token] = a, b
+        return got
+
     def follows(self, last: str | None, token: str) -> bool:
+        """Whether the merges leave these two tokens side by side.
+
+        Going back in time from both whole, the later of the two merges is undone, so that the parts next to
+        the boundary are those that stood there together. They would have merged if their own rank came before
+        those of the merges that took them; of equal ranks the left one comes first.
+        """
         if last is None:
             return True
         got = self.pairs.get((last, token))
-        if got is None:
-            got = self.pairs[last, token] = self.merged(last + token) == [last, token]
+        if got is not None:
+            return got
+        rank, x, y, x_taken, y_taken = self.rank, last, token, NEVER, NEVER
+        while True:
+            r = rank.get(x + y, NEVER)
+            if r < x_taken and (r <= y_taken if y_taken < NEVER else r < NEVER):
+                got = False
+                break
+            x_made, y_made = (rank[z] if len(z) > 1 else -1 for z in (x, y))
+            if x_made < 0 and y_made < 0:
+                got = True
+                break
+            if x_made > y_made:
+                x, x_taken = self.halves(x)[1], x_made
+            else:
+                y, y_taken = self.halves(y)[0], y_made
+        self.pairs[last, token] = got
         return got
 
     def compile(self, at: int, column: int) -> None:
@@ -166,12 +206,43 @@ class Transducer:
         first = np.cumsum([0, *(len(texts[i]) + 1 for i in some[:-1])])
         sync = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
         sync = sync[np.diff(sync // LANE, prepend=-1) > 0]
-        start = np.union1d(first, sync)
-        length = np.diff(start, append=len(codes))
+        fixed = np.union1d(first, sync)
+        # chunks of at most LONGEST characters: the fixed starts and further ones at equal steps after each
+        parts = -(-np.diff(fixed, append=len(codes)) // LONGEST)
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.repeat(fixed, parts) + step * LONGEST
+        size = np.diff(start, append=len(codes))
         cols = self.columns(codes)
-        order = np.argsort(-length, kind="stable")
-        begin, size = start[order], length[order]
-        state = np.zeros(len(begin), np.int64)
+        chunk = np.arange(len(start))
+        loose = step > 0
+        # the maps so far: of each known (chunk, entry), its exit and count
+        exits, tokens = self.passed(cols, start, size, np.zeros(len(start), np.int64))
+        known = [(chunk, np.zeros(len(start), np.int64), exits, tokens)]
+        after = chunk[loose]
+        at, entry = after, exits[after - 1]
+        last = np.append(np.flatnonzero(~loose)[1:], len(start))[np.cumsum(~loose) - 1] - 1  # of the chunks that hang together
+        seen = after * MOST_KEYS  # the fixed state is known as an entry of all
+        while len(at):
+            key = at * MOST_KEYS + entry
+            if len(known) > 2:
+                n = np.minimum(last[at] - at + 1, AHEAD)
+                key = np.repeat(key, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * MOST_KEYS
+            fresh = np.unique(key[~np.isin(key, seen)])
+            if not len(fresh):
+                break
+            seen = np.concatenate([seen, fresh])
+            at, entry = np.divmod(fresh, MOST_KEYS)
+            exits, tokens = self.passed(cols, start[at], size[at], entry)
+            known.append((at, entry, exits, tokens))
+            more = (at + 1 < len(start)) & loose[np.minimum(at + 1, len(start) - 1)]
+            at, entry = at[more] + 1, exits[more]
+        return self.composed(out, some, first, start, loose, *map(np.concatenate, zip(*known)))
+
+    def passed(self, cols: np.ndarray, start: np.ndarray, size: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exit state, count) of each chunk from its entry state; all run in lockstep."""
+        order = np.argsort(-size, kind="stable")
+        begin, size = start[order], size[order]
+        state = entry[order].astype(np.int64)
         count = np.zeros(len(begin), np.int64)
         active = len(begin) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1), side="left")
         for i, n in enumerate(active):
@@ -183,9 +254,25 @@ class Transducer:
                 to = self.next.ravel().take(cell)
             count[:n] += self.emit.ravel().take(cell)
             state[:n] = to
-        by_lane = np.zeros(len(begin), np.int64)
-        by_lane[order] = count
-        out[some] = np.add.reduceat(by_lane, np.searchsorted(start, first))
+        exits, tokens = np.empty_like(state), np.empty_like(count)
+        exits[order], tokens[order] = state, count
+        return exits, tokens
+
+    def composed(self, out: np.ndarray, some: list[int], first: np.ndarray, start: np.ndarray, loose: np.ndarray, chunk: np.ndarray, entry: np.ndarray, exits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Counts of the texts ``some`` in ``out``: the chunks' maps, one row an entry, composed by pointer doubling."""
+        key = chunk * MOST_KEYS + entry
+        order = np.argsort(key, kind="stable")
+        key, chunk, exits, tokens = key[order], chunk[order], exits[order], tokens[order]
+        follows = np.append(loose, False)[chunk + 1]
+        end = len(key)
+        to = np.where(follows, np.searchsorted(key, (chunk + 1) * MOST_KEYS + exits), end)
+        to, total = np.append(to, end), np.append(tokens, 0)
+        while (to < end).any():
+            total, to = total + total[to], to[to]
+        # of each run of chunks that hang together, the first row is that of the fixed state
+        head = np.flatnonzero(~loose)
+        runs = total[np.searchsorted(key, head * MOST_KEYS)]
+        out[some] = np.add.reduceat(runs, np.searchsorted(start[head], first))
         return out
 
 

@@ -120,3 +120,32 @@ def test_signed_digits(n):
     d = list(topk.digits(n))
     assert sum(s << t if s > 0 else -(1 << t) for t, s in d) == n
     assert all(b - a > 1 for (a, _), (b, _) in zip(d, d[1:]))
+
+
+def test_texts_without_blanks_are_cut_and_composed():
+    """Chunks of fixed length, entered in whatever state the one before gives, count as the library does."""
+    import time
+
+    path = P.path("piece_bpe_32k.model")
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=path), tokencount.Transducer(path)
+    rnd = random.Random(21)
+    chinese = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "abc", "ab的é😀z0=/+", chinese, "a", "ACGT", ["function(", "return", "{", "};", "=>", "this.", "0x1f", "&&"]]
+    for kind in kinds:
+        texts = ["".join(rnd.choice(kind) for _ in range(n)) for n in (1, 383, 384, 385, 767, 768, 1153, 5000)]
+        assert t.counts(texts).tolist() == [len(sp.encode(x)) for x in texts]
+    long = "".join(rnd.choice(kinds[-1]) for _ in range(50_000)) + "a" * 100_000
+    t.counts([long])
+    began = time.perf_counter()
+    assert t.counts([long])[0] == len(sp.encode(long))
+    assert time.perf_counter() - began < 2
+
+
+def test_pairs_are_judged_as_the_merges_do():
+    path = P.path("piece_bpe_32k.model")
+    t = tokencount.Transducer(path)
+    rnd = random.Random(8)
+    tokens = [p for p in rnd.sample(sorted(t.rank), 3000) if t.is_token(p)]
+    pairs = [(rnd.choice(tokens), rnd.choice(tokens)) for _ in range(3000)] + [(p[:k], p[k:]) for p in tokens for k in range(1, len(p)) if t.is_token(p[:k]) and t.is_token(p[k:])]
+    for a, b in pairs:
+        assert t.follows(a, b) == (t.merged(a + b) == [a, b])
