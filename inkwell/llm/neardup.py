@@ -18,9 +18,8 @@ from .common import written
 #: Each of HASHES permutations gives its minimum and its maximum, so BANDS * ROWS is twice HASHES. A pair at
 #: similarity 0.8 is missed by all bands with a chance of (1 - 0.8**5)**32, about 3 in a million.
 HASHES, BANDS, ROWS = 80, 32, 5
-#: All pairs of buckets up to this size are compared; members of larger ones with HUBS others in each of ROUNDS,
-#: and what is then still in several components all with all.
-SMALL, HUBS, ROUNDS = 24, 4, 2
+#: Buckets up to this size are compared pair by pair, larger ones in blocks.
+SMALL = 24
 #: Documents and shingles in a block of such members, about, and columns that a product of two blocks takes at once.
 BLOCK, BLOCK_SHINGLES, WIDTH = 1024, 400_000, 4096
 #: So many ids (8 bytes each) may be sent to all executors; more are joined by shuffling.
@@ -38,19 +37,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+def shingles(texts: list[str], width: int = 2) -> tuple[list[np.ndarray], list[bytes]]:
     """Each text's set as sorted 64-bit hashes, and 128 bits of its words' sequence (b'' without words).
 
-    A-Z are lowered; shingles are of two words, or the one word of a text that has no more.
+    A-Z are lowered; shingles are of ``width`` words, or all words of a text that has fewer.
     """
     words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
     digest = xxhash.xxh3_64_intdigest
     h = np.array([digest(w) for ws in words for w in ws], np.uint64)
-    pairs = mixed(h[:-1] * K1 + h[1:] * K2) if len(h) > 1 else np.zeros(0, np.uint64)
+    runs = h[: max(0, len(h) - width + 1)]
+    for j in range(1, width):
+        runs = mixed(runs * K1 + h[j : j + len(runs)] * K2)
     out, at = [], 0
     for ws in words:
         n = len(ws)
-        out.append(np.unique(pairs[at : at + n - 1]) if n > 1 else mixed(h[at : at + n] * K2 + K1))
+        if n >= width:
+            out.append(np.unique(runs[at : at + n - width + 1]))
+        else:
+            short = h[at : at + min(n, 1)]
+            for j in range(1, n):
+                short = mixed(short * K1 + h[at + j : at + j + 1] * K2)
+            out.append(mixed(short * K2 + K1))
         at += n
     return out, [hashlib.blake2b(b" ".join(ws), digest_size=16).digest() if ws else b"" for ws in words]
 
@@ -74,13 +81,13 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, same, keys) of whole texts; same is null and keys empty without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in pieces(batch, "text"):
-                sets, same = shingles(texts)
+                sets, same = shingles(texts, width)
                 keys = band_keys(sets)
                 lists = pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x or None for x in same], pa.binary()), lists], names=["doc_id", "n_shingles", "same", "keys"])
@@ -89,13 +96,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_shingles long, same binary, keys array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, body): the sets as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in pieces(batch, "text"):
-                sets, _ = shingles(texts)
+                sets, _ = shingles(texts, width)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "body"])
 
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -125,6 +132,11 @@ def linked(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return x.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def least_of(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest v of each u, written, so that a join with it has plain shuffles on both sides and Spark can split a hot u."""
+    return written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc, component): the smallest id that each id of an edge (a, b) reaches; ids in no edge are left out.
 
@@ -140,10 +152,9 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct())
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(least, "u")
+        least = least_of(both).select("u", F.least("u", "m").alias("m"))
+        e = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        moved = e.join(least_of(e), "u")
         e = moved.select("u", F.col("m").alias("v")).unionByName(moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         e = written(e, "edges")
 
@@ -155,10 +166,6 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
-def order(seed: int) -> Column:
-    return F.struct(F.xxhash64(F.lit(seed), F.col("doc")).alias("h"), F.col("doc").alias("doc"), F.col("c").alias("c"), F.col("alone").alias("alone"))
-
-
 def relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc, component) after components met: ``roots`` maps a component, or a document by itself, to the one it is part of."""
     r = roots.select(F.col("doc").alias("old"), F.col("component").alias("root"))
@@ -167,30 +174,23 @@ def relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
     return inside.unionByName(alone)
 
 
-def candidates(members: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
-    """(a, b, ca, cb), a > b: pairs of different components and these in the buckets (key, doc, n) that still hold several.
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket members (key, doc) with c, the component of the document or itself."""
+    return members.join(labels.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
 
-    Small buckets give all such pairs. Of a large one, HUBS members, another choice each round, are paired
-    with all others, so its pairs grow with its size and not with the square of it.
-    """
-    m = members.join(labels.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"), F.col("component").isNull().alias("alone"))
-    m = written(m, "members")
-    open_ = m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *[F.min(order(seed + i)).alias(f"h{i}") for i in range(HUBS)]).where("c0 <> c1")
-    m = m.join(open_.drop("c0", "c1"), "key")
-    small = m.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set(F.struct("doc", "c")).alias("all"))
-    p = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.doc > y.doc and x.c <> y.c").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
-    # only hubs of other components, before they become rows; a lone hub meets its bucket's components as a member
-    hubs = F.filter(F.array(*[F.col(f"h{i}") for i in range(HUBS)]), lambda h: (h["c"] != F.col("c")) & (F.col("alone") | ~h["alone"]))
-    large = m.where(F.col("n") > SMALL).select("doc", "c", F.explode(F.array_distinct(F.transform(hubs, lambda h: F.struct(h["doc"].alias("doc"), h["c"].alias("c"))))).alias("hub")).distinct()
-    first = F.col("doc") > F.col("hub.doc")
-    pair = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("doc", "hub.doc", "a"), ("hub.doc", "doc", "b"), ("c", "hub.c", "ca"), ("hub.c", "c", "cb"))]
-    return p.unionByName(large.select(*pair)).distinct()
+
+def candidates(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, ca, cb), a > b: all pairs of different components ca and cb in the small buckets (key, doc, n)."""
+    small = labelled(members.where(F.col("n") <= SMALL), labels).groupBy("key").agg(F.collect_set(F.struct("doc", "c")).alias("all"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    pairs = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.doc > y.doc and x.c <> y.c")
+    return pairs.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
 
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc, c, hub): members of the large buckets (key, doc, n) that still hold several components, with the bucket's smallest."""
-    m = members.where(F.col("n") > SMALL).join(labels.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-    ends = m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc").alias("hub")).where("c0 <> c1")
+    m = written(labelled(members.where(F.col("n") > SMALL), labels), "large")
+    # written, so that the join has plain shuffles on both sides and a hot bucket can be split
+    ends = written(m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc").alias("hub")).where("c0 <> c1").select("key", "hub"), "open")
     return m.join(ends, "key").select("doc", "c", "hub").distinct()
 
 
@@ -207,7 +207,7 @@ def across(open_: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     d = d.join(sets.select(F.col("doc_id").alias("doc"), (F.octet_length("body") / 8).cast("long").alias("size")).distinct(), "doc")
     d = d.withColumn("class", F.floor(F.log("size") / F.lit(step)).cast("long"))
     big = d.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK // 4).select("s", "c", F.concat(F.lit("c"), "c").alias("lot"))
-    d = written(d.join(F.broadcast(big), ["s", "c"], "left").withColumn("lot", F.coalesce("lot", F.lit(""))), "open")
+    d = written(d.join(big, ["s", "c"], "left").withColumn("lot", F.coalesce("lot", F.lit(""))), "open")
     lots = d.groupBy("s", "lot", "class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long").alias("parts"))
     name = F.concat_ws(":", "class", "part", "lot")
     blocks = lots.select("s", "lot", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("s", "lot", "class", name.alias("block"))
@@ -277,22 +277,24 @@ def similar_rows(sets: list[np.ndarray], right: np.ndarray, c: np.ndarray, simil
     return out
 
 
-def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, similar: int = 80, width: int = 5) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
-    Documents are linked at 100 * intersection >= ``similar`` * union of their sets of two-word shingles;
-    component_id is the smallest id reachable, kept whether that is the document itself. Null, empty and blank
-    texts have an empty set and no links. Rows without an id have no component and are kept. Ids are taken as
-    unique; rows that repeat one share its component. Other columns are ignored, an empty table stays empty.
+    Documents are linked at 100 * intersection >= ``similar`` * union of their sets of shingles of ``width``
+    words; component_id is the smallest id reachable, kept whether that is the document itself. Null, empty and
+    blank texts have an empty set and no links; a text of fewer words is one shingle. Very long texts count whole.
+    Of equal similarities none is preferred: every link counts. Rows without an id have no component and are kept.
+    Ids are taken as unique; rows that repeat one share its component. Other columns are ignored, an empty table
+    stays empty.
 
     Exact copies (equal word sequences) are settled by one aggregation and only their smallest ids go on. Of
     these, documents that share a band key meet in a bucket. First each is compared with the one smallest
-    member that it meets most often; then, round by round, with others of its buckets that are not yet in its
-    component; what is linked there joins whole components. Large buckets that then still hold several components
-    are compared all with all, in blocks. Every link is confirmed on the full sets. What is sent is keys, sets of
-    documents that meet any other, blocks of sets, and links, never single pairs of a large bucket.
+    member that it meets most often, which settles most components. Then all pairs of different components are
+    compared in small buckets, and all documents of large buckets that still hold several components in blocks.
+    Every link is confirmed on the full sets. What is sent is keys, sets of documents that meet any other,
+    blocks of sets, and links, never single pairs of a large bucket.
     """
-    sig = written(signatures(docs), "signatures")
+    sig = written(signatures(docs, width), "signatures")
     with_words = sig.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
     copies = with_words.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # read again, so that the join has plain shuffles on both sides and a hot group of copies can be split
@@ -300,21 +302,19 @@ def near_duplicates(docs: DataFrame, similar: int = 80) -> DataFrame:
     own = written(with_words.select("doc_id", "same").join(copies, "same").select("doc_id", "first"), "copies")
     later = own.where("doc_id <> first").select("doc_id").distinct()
     kept = with_words.join(later, "doc_id", "left_anti")
-    keyed = kept.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub")).where("n > 1")
+    keyed = written(kept.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key")), "keys")
+    buckets = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub")).where("n > 1"), "sizes")
     members = written(keyed.join(buckets, "key"), "buckets")
     met = members.where("doc <> hub").groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("times"))
     first = met.groupBy("doc").agg(F.max(F.struct("times", (-F.col("hub")).alias("to"))).alias("best")).select(F.col("doc").alias("a"), (-F.col("best.to")).alias("b"))
     tried = written(first, "pairs")
     ids = written(members.select(F.col("doc").alias("doc_id")).distinct(), "ids")
-    sets = written(full_sets(only(docs.select("doc_id", "text"), ids)), "sets")
+    sets = written(full_sets(only(docs.select("doc_id", "text"), ids), width), "sets")
     labels = written(components(written(linked(tried, sets, similar), "links")), "labels")
-    for r in range(ROUNDS):
-        more = written(candidates(members.select("key", "doc", "n"), labels, r * HUBS).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        found = written(linked(more, sets, similar).join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
-        if not found.isEmpty():
-            labels = written(relabelled(labels, components(found)), "labels")
-        tried = tried.select("a", "b").unionByName(more.select("a", "b"))
+    more = written(candidates(members, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = written(linked(more, sets, similar).join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    if not found.isEmpty():
+        labels = written(relabelled(labels, components(found)), "labels")
     rest = written(unsettled(members, labels), "unsettled")
     if not rest.isEmpty():
         found = written(across(rest, sets, similar), "links")

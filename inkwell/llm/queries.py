@@ -40,7 +40,7 @@ def op5_quality_classifier(spark, sf_dir):
 
 
 def op6_minhash_dedup(spark, sf_dir):
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 80)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 80, 2)
 
 
 def op7_html_extract(spark, sf_dir):

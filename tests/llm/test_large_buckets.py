@@ -25,11 +25,26 @@ def test_links_inside_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 128)
     rows = template_rows(700, 60)
     want = plain_components(rows)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, [(i, t, None) for i, t in rows])).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, [(i, t, None) for i, t in rows]), 80, 2).collect()}
     assert sum(c != i for i, (_, c) in want.items()) == 60
     assert got == want
 
 
+def test_form_letters(spark):
+    """3,000 texts of one 396-word template: pairs share 5 words more (0.806), all others lie at 0.788."""
+    base = " ".join(f"t{i}" for i in range(396))
+    rows = [(d, " ".join([base, *(f"p{d // 2}_{i}" for i in range(5)), *(f"o{d}_{i}" for i in range(48))]), None) for d in range(3000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows), 80, 2).collect()}
+    assert got == {d: (448, d - d % 2) for d in range(3000)}
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i % 70_001}" for i in range(300_000))
+    rows = [(1, long, None), (2, long + " end", None), (3, "w1 w2 w3 w4 w5", None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {1: (70_001, 1), 2: (70_002, 1), 3: (1, 3)}
+
+
 def test_blocks_link_what_pairs_do(monkeypatch):
     monkeypatch.setattr(neardup, "WIDTH", 16)
     rng = np.random.default_rng(8)

@@ -142,15 +142,15 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
 # ---------------------------------------------------------------- near duplicates
 
 
-def shingle_set(t):
+def shingle_set(t, width=2):
     w = WORD.findall(lowered(t or ""))
-    return set(zip(w, w[1:])) if len(w) > 1 else {(x,) for x in w}
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}
 
 
-def plain_components(rows):
+def plain_components(rows, width=2):
     sets = {}
     for i, t in rows:
-        sets.setdefault(i, shingle_set(t))
+        sets.setdefault(i, shingle_set(t, width))
     at = {i: i for i in sets}
 
     def find(i):
@@ -187,13 +187,13 @@ def near_rows(seed, groups=12, copies=14):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates(spark, monkeypatch, seed):
+@pytest.mark.parametrize(("seed", "width"), [(1, 2), (2, 2), (3, 5)])
+def test_near_duplicates(spark, monkeypatch, seed, width):
     monkeypatch.setattr(neardup, "SMALL", 4)
     rows = near_rows(seed)
     d = frame(spark, [(i, t, None) for i, t in rows] + [(5, rows[5][1], "again"), (None, "x y", "s")]).withColumn("same", F.lit(1)).withColumn("keys", F.lit(2))
-    got = neardup.near_duplicates(d).collect()
-    want = plain_components(rows)
+    got = neardup.near_duplicates(d, 80, width).collect()
+    want = plain_components(rows, width)
     assert len(got) == len(rows) + 2
     for r in got:
         if r.doc_id is not None:
@@ -222,7 +222,7 @@ def test_estimates_are_unbiased():
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
     a, b = " ".join(words), " ".join(words[:360] + [f"v{i}" for i in rng.permutation(40)])
-    sets, _ = neardup.shingles([a, b])
+    sets, _ = neardup.shingles([a, b], 2)
     true = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
     same = []
     for m, c in zip(neardup.MULTIPLY, neardup.ADD):
