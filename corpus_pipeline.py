@@ -27,9 +27,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: of each group of near duplicates the smallest id stays."""
+    """MinHash near-dedup on five-word shingles at 0.8: of each group of near duplicates the smallest id stays."""
     ready(spark)
-    gone = written(neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    gone = written(neardup.near_duplicates(docs, 80, 5).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     if gone.limit(neardup.FEW_IDS + 1).count() <= neardup.FEW_IDS:
         gone = F.broadcast(gone)
     rows, back = shielded(docs, "doc_id")
