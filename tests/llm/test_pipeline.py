@@ -60,7 +60,7 @@ def test_lines(states):
 
 def test_near(states):
     before, after = rows(states[2]), rows(states[3])
-    comp = plain_components([(r["doc_id"], r["text"]) for r in before])
+    comp = plain_components([(r["doc_id"], r["text"]) for r in before], 5)
     assert sorted(r["doc_id"] for r in after) == sorted(i for i, (_, c) in comp.items() if c == i)
 
 
