@@ -23,3 +23,28 @@ def test_lists_of_links_bound_the_text():
 def test_an_authors_link_is_no_list():
     got, want = page(*[600] * 8, before="<div><h1>Title</h1></div><div>By <a href=1>Some Author</a></div>")
     assert html.main_text(got) == "Title\nBy Some Author\n" + want
+
+
+FRAME_PAGE = "<body><nav><a href=1>Home</a> <a href=2>News</a></nav><div class=ad>Buy this now, it is cheap today.</div><article><h1>Title</h1><p>{}</p><p>Short.</p><p>{}</p></article><footer>&copy; somebody, all rights reserved, and so on and on.</footer></body>"
+
+
+def test_the_ratios_choose(monkeypatch):
+    """Frames reach the clustering as lines and lose there; an article or main is no condition."""
+    page = FRAME_PAGE.format("word " * 60, "more " * 40)
+    want = "Title\n" + ("word " * 60).strip() + "\nShort.\n" + ("more " * 40).strip()
+    assert html.main_text(page) == want
+    for tag in ("div", "main", "section"):
+        assert html.main_text(page.replace("article", tag)) == want
+    monkeypatch.setattr(html, "chosen", lambda lines: lines)
+    assert html.main_text(page) == f"Home News\nBuy this now, it is cheap today.\n{want}\n© somebody, all rights reserved, and so on and on."
+
+
+def test_a_line_at_the_threshold_is_in():
+    """Equal ratios all lie at the mean, with no spread: all regions tie and all stay."""
+    got, want = page(*[300] * 5)
+    assert html.main_text(got) == want
+    assert html.main_text("<div>abc</div><div>abc</div>") == "abc\nabc"
+
+
+def test_frames_alone_are_no_main_text():
+    assert html.main_text("<nav>a</nav><footer>some words of a footer</footer><div class='ad'>text</div><article></article>") == ""
