@@ -53,7 +53,8 @@ def op8_line_dedup(spark, sf_dir):
 
 
 def op9_url_filter(spark, sf_dir):
-    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, URL_RULES, urls.train(pages, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_quality_rules(spark, sf_dir):

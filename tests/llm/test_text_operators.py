@@ -314,19 +314,73 @@ URLS = {
 }
 
 
-def test_urls(spark):
+TRAINING = [
+    *((f"http://{h}.example.net/{i}", f"<p>cheap pills and free bets, said the {h}</p>") for i, h in enumerate(["cheap-pills", "freebets", "pillsfree", "betscheap", "cheap", "pills", "freepills", "bets"] * 3)),
+    *((f"http://{h}.example.net/en/{i}", "<p>the science museum and the school library</p><script>var pills;</script>") for i, h in enumerate(["science-museum", "schoollibrary", "museumschool", "library", "science", "museum"] * 3)),
+]
+
+
+def url_frame(spark, rows):
+    return frame(spark, rows, "page_id long, url string, html string")
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    rows = [(i, u, h) for i, (u, h) in enumerate(TRAINING)] + [(None, None, None), (7, "no scheme", ""), (8, TRAINING[0][0], "<p>again")]
+    return rows, urls.train(url_frame(spark, rows), RULES)
+
+
+def test_urls(spark, trained):
+    _, model = trained
     rows = [(i, u, "clash") for i, u in enumerate(URLS)] + [(99, None, "clash"), (None, "http://b.net/", "x"), (98, "http://" + "ab" * 20_000 + ".com/", "x")]
-    d = frame(spark, rows, "page_id long, url string, host string").withColumn("margin", F.lit("clash"))
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(d, RULES).collect()}
+    d = frame(spark, rows, "page_id long, url string, host string").withColumn("margin", F.lit("clash")).withColumn("said", F.lit("clash"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(d, RULES, model).collect()}
     for i, u in enumerate(URLS):
         assert got[i] == URLS[u], u
     assert got[99] == ("", "", None, "allow") and got[None][3] == "block" and got[98][3] == "allow"
-    assert urls.judge(d.where("false"), RULES).count() == 0
-
-
-def test_segmentation():
-    split = urls.models()[0].split
-    assert split("cheappills") == ["cheap", "pills"] and split("onlinecasinobonus") == ["online", "casino", "bonus"] and split("zzqqxxk") == ["zzqqxxk"] and split("") == []
+    assert urls.judge(d.where("false"), RULES, model).count() == 0
+
+
+def test_url_model_is_plain_naive_bayes(spark, trained):
+    rows, model = trained
+    parts = lambda u: re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u).groups()
+    hosts = {parts(u)[0].lower() for _, u, _ in rows if u and "://" in u}
+    out = {r.h for r in spark.createDataFrame([(h,) for h in hosts], "h string").where(urls.held_out(F.col("h"))).collect()}
+    seen = set()
+    for _, u, _ in rows:
+        if u and "://" in u and parts(u)[0] not in out:
+            host, path = parts(u)
+            said = "allow" if host.endswith("example.net") and path.startswith("/en/") else "block"
+            seen |= {(host, said, t) for t in model.tokens(host, path)}
+    n = {v: Counter(t for _, s, t in seen if s == v) for v in ("block", "allow")}
+    words = n["block"].keys() | n["allow"].keys()
+    chance = {v: {w: (n[v][w] + 1) / (sum(n[v].values()) + len(words)) for w in words} for v in n}
+    assert out and words and set(model.classifier.weight) == words
+    for tokens in ([], ["pills"], ["museum", "science", "free"], ["unknown", "en"]):
+        want = math.log(math.prod(chance["block"].get(t, 1) for t in tokens)) - math.log(math.prod(chance["allow"].get(t, 1) for t in tokens))
+        assert model.classifier.margin(tokens) == pytest.approx(want)
+
+
+def test_url_words_come_from_the_pages(spark, trained):
+    _, model = trained
+    split = model.segmenter.split
+    assert split("cheappills") == ["cheap", "pills"] and split("museumlibraryschool") == ["museum", "library", "school"] and split("zzqqxxk") == ["zzqqxxk"] and split("") == []
+    assert "var" not in model.segmenter.cost
+    empty = urls.train(url_frame(spark, []), RULES)
+    assert empty.segmenter.split("abc") == ["abc"] and empty.classifier.margin(["abc"]) == 0
+    assert empty.tokens("", "") == []
+
+
+def test_url_ties_allow(spark):
+    even = urls.Model(urls.Segmenter({"ab": 1}), urls.Classifier({"ab": 2, "cd": 1}, {"ab": 2, "cd": 1}))
+    assert [r.verdict for r in urls.judge(url_frame(spark, [(1, "http://ab.com/ab", None)]), RULES, even).collect()] == ["allow"]
+
+
+def test_url_accuracy_on_held_out_hosts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = {(r.said, r.judged): r.n for r in urls.accuracy(pages, RULES, urls.train(pages, RULES)).collect()}
+    right = sum(n for (a, b), n in rows.items() if a == b)
+    assert right >= 0.8 * sum(rows.values()) and rows.get(("allow", "block"), 0) == 0
 
 
 def test_segmentation_is_the_likeliest():
