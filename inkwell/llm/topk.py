@@ -48,7 +48,8 @@ def sliced(ids: np.ndarray, ints: np.ndarray) -> dict:
         for s in range(n):
             raw = np.packbits(((rest[:, d] >> np.uint64(s)) & np.uint64(1)).astype(bool), bitorder="little")
             maps.append(np.pad(raw, (0, words * 8 - len(raw))).view(np.uint64))
-    return {"ids": ids, "low": low, "bits": bits, "maps": np.array(maps, np.uint64).reshape(-1, words), "words": words}
+    high = ints.max(axis=0) if len(ids) else low
+    return {"ids": ids, "low": low, "high": high, "bits": bits, "maps": np.array(maps, np.uint64).reshape(-1, words), "words": words}
 
 
 def digits(w: int) -> Iterator[tuple[int, int]]:
@@ -139,23 +140,48 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(flat), width)
 
 
-def blocks(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
-    """(block, body): rows (vec_id, v) of equal width in blocks of about ``size``, bit-sliced or packed; and how many blocks."""
-    n = max(1, math.ceil(rows.count() / size))
+def reachable(index: dict, ints: np.ndarray) -> list[int]:
+    """For each query the sum of the most that each component can add in the block: no row scores more."""
+    w = ints.astype(object)
+    return np.maximum(w * index["low"].astype(object), w * index["high"].astype(object)).sum(axis=1).tolist() if ints.shape[1] else [0] * len(ints)
+
+
+def blocks(rows: DataFrame, k: int) -> DataFrame:
+    """(block, width, part, index, queries): rows (vec_id, v, asks) of equal width, bit-sliced in blocks of about ROWS.
+
+    ``queries`` are those of the block, packed by up to QUERIES, each with its floor and what it found in its own block.
+    """
+    n = max(1, math.ceil(rows.count() / ROWS))
     put = F.pmod(F.xxhash64("vec_id", "width"), F.lit(n)).cast("int")
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
-        width = key[1].as_py()
-        ids, ints = t.column("vec_id").to_numpy(), matrix(t.column("v"), width)
+        width, size = key[1].as_py(), ROWS
+        ids, ints, asks = t.column("vec_id").to_numpy(), matrix(t.column("v"), width), np.array(t.column("asks").to_pylist(), bool)
         # a block of many repeats of one id is cut as well: its parts are blocks of their own
-        bodies = []
-        for at in range(0, len(ids), 2 * size):
-            a, b = ids[at : at + 2 * size], ints[at : at + 2 * size]
-            bodies.append(pickle.dumps(sliced(a, b) if name == "index" else {"ids": a, "ints": b}, protocol=5))
-        return pa.table({"block": pa.array([key[0].as_py()] * len(bodies), pa.int32()), "width": pa.array([width] * len(bodies), pa.int32()), "body": pa.array(bodies, pa.binary())})
-
-    packed = rows.withColumn("block", put).groupBy("block", "width").applyInArrow(pack, "block int, width int, body binary")
-    return written(packed, name), n
+        bodies, packed = [], []
+        for part, at in enumerate(range(0, len(ids), 2 * size)):
+            cut = slice(at, at + 2 * size)
+            index = sliced(ids[cut], ints[cut])
+            turned, own = ~index["maps"], []
+            mine = np.flatnonzero(asks[cut]) + at
+            for i in range(0, len(mine), QUERIES):
+                some = mine[i : i + QUERIES]
+                found = [best(index, turned, q, w, k) for q, w in zip(ids[some].tolist(), ints[some].tolist())]
+                floors = [min(s for _, s in f) if len(f) == k else None for f in found]
+                own.append(pickle.dumps({"from": (key[0].as_py(), part), "ids": ids[some], "ints": ints[some], "floors": floors, "found": found}, protocol=5))
+            bodies.append(pickle.dumps(index, protocol=5))
+            packed.append(own)
+        m = len(bodies)
+        return pa.table({"block": pa.array([key[0].as_py()] * m, pa.int32()), "width": pa.array([width] * m, pa.int32()), "part": pa.array(range(m), pa.int32()), "index": pa.array(bodies, pa.binary()), "queries": pa.array(packed, pa.list_(pa.binary()))})
+
+    packed = rows.withColumn("block", put).groupBy("block", "width").applyInArrow(pack, "block int, width int, part int, index binary, queries array<binary>")
+    return written(packed, "index")
+
+
+def sent(index: DataFrame) -> DataFrame:
+    """(block, width, q): the packed queries, once for each block of their width."""
+    asked = index.select("width", F.explode("queries").alias("q"))
+    return asked.join(index.select("block", "width").distinct(), "width").select("block", "width", "q")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
@@ -165,33 +191,34 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     all rows of other ids and of its own width. Vectors that are null or hold null or non-finite components
     take no part, nor do rows without an id. Rows that repeat an id with equal vectors count once; an id with
     different vectors takes part with each, as a query with the best ``k`` results over all of them. Scores are exact; one
-    beyond the range of a long shows as its limit. Empty tables give an empty result.
+    beyond the range of a long shows as its limit. Empty tables give an empty result; other columns are ignored.
 
-    Index blocks and query blocks meet on their numbers in an equality join, so no task holds more than one of
-    each; every pair of blocks gives k rows a query, which are ranked per query.
+    Index blocks and packed queries meet on the block's number in an equality join. What is shuffled is every index
+    block once, and the queries once for each block; a task holds one block and one pack of queries at a time.
     """
-    v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"))
-    v = v.dropDuplicates(["vec_id", "v"]).withColumn("width", F.size("v"))
-    rows, n_rows = blocks(v, "index", ROWS)
-    queries, n_queries = blocks(v.where(is_query), "queries", QUERIES)
-    left = rows.select("block", "width", "body", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("other"))
-    right = queries.select(F.col("block").alias("other"), "width", F.col("body").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("block"))
-    # as many parts as pairs of blocks, so that a task has about one
-    parts = max(1, min(n_rows * n_queries, 20_000))
-    pairs = left.repartition(parts, "block", "other", "width").join(right.repartition(parts, "block", "other", "width"), ["block", "other", "width"])
+    v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    v = v.groupBy("vec_id", "v").agg(F.bool_or("asks").alias("asks")).withColumn("width", F.size("v"))
+    index = blocks(v, k)
+    asked = sent(index)
+    parts = max(1, min(index.count(), 20_000))
+    pairs = index.select("block", "width", "part", "index").repartition(parts, "block", "width").join(asked.repartition(parts, "block", "width"), ["block", "width"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body, q in zip(batch.column(0), batch.column(1)):
-                index, asked = pickle.loads(body.as_buffer()), pickle.loads(q.as_buffer())
-                turned = ~index["maps"]
+            for block, part, body, q in zip(*batch.columns):
+                at, index, asked = (block.as_py(), part.as_py()), pickle.loads(body.as_buffer()), pickle.loads(q.as_buffer())
                 found: tuple[list, list, list] = ([], [], [])
-                for own, weights in zip(asked["ids"].tolist(), asked["ints"].tolist()):
-                    for row in best(index, turned, own, weights, k):
+                if at == asked["from"]:
+                    results = asked["found"]
+                else:
+                    turned, most = ~index["maps"], reachable(index, asked["ints"])
+                    results = [best(index, turned, own, weights, k) if floor is None or top >= floor else [] for own, weights, floor, top in zip(asked["ids"].tolist(), asked["ints"].tolist(), asked["floors"], most)]
+                for own, rows in zip(asked["ids"].tolist(), results):
+                    for row in rows:
                         for to, x in zip(found, (own, *row)):
                             to.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("body", "q").mapInArrow(search, "query_id long, vec_id long, score long").distinct()
+    found = pairs.select("block", "part", "index", "q").mapInArrow(search, "query_id long, vec_id long, score long").distinct()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -149,3 +149,32 @@ def test_pairs_are_judged_as_the_merges_do():
     pairs = [(rnd.choice(tokens), rnd.choice(tokens)) for _ in range(3000)] + [(p[:k], p[k:]) for p in tokens for k in range(1, len(p)) if t.is_token(p[:k]) and t.is_token(p[k:])]
     for a, b in pairs:
         assert t.follows(a, b) == (t.merged(a + b) == [a, b])
+
+
+def test_only_queries_travel(spark, monkeypatch):
+    """Index blocks are dealt once; the packed queries go to each block, so bytes sent grow with queries times blocks."""
+    monkeypatch.setattr(topk, "ROWS", 40)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rnd = random.Random(5)
+    d = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(8)], i % 10 == 0) for i in range(400)], "vec_id long, embedding array<float>, asks boolean")
+    index = topk.blocks(d.select("vec_id", topk.quantised(F.col("embedding")).alias("v"), "asks", F.lit(8).alias("width")), 5)
+    blocks = index.collect()
+    packs = [q for b in blocks for q in b["queries"]]
+    assert len(blocks) == 10 and sum(len(topk.pickle.loads(q)["ids"]) for q in packs) == 40
+    sent = topk.sent(index).collect()
+    assert len(sent) == len(packs) * len(blocks) and sum(len(r.q) for r in sent) == len(blocks) * sum(map(len, packs))
+    plan = topk.top_k(d, F.col("asks"), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") == 1 and "explode(queries" in plan
+
+
+def test_blocks_out_of_reach_are_skipped():
+    rng = np.random.default_rng(6)
+    near, far = rng.integers(200, 256, (50, 8)), rng.integers(-256, -200, (50, 8))
+    query = near[:1]
+    floor = sorted(-(near[1:] @ query[0]))[4] * -1
+    index = topk.sliced(np.arange(50), far)
+    assert topk.reachable(index, query)[0] < floor
+    index = topk.sliced(np.arange(50), near)
+    assert topk.reachable(index, query)[0] >= (near @ query[0]).max()
+    mixed = rng.integers(-256, 256, (50, 8))
+    assert all(m >= (mixed @ q).max() for m, q in zip(topk.reachable(topk.sliced(np.arange(50), mixed), mixed), mixed))
