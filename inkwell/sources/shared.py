@@ -11,21 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, is a temporary folder made and remembered in the session.
+    Only where that is unset and all runs on this machine, as in local tests, is a temporary folder made and
+    remembered in the session. Elsewhere executors would each write to a disk of their own, so that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master is {master})")
         at = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/inkwell-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation of what led here.
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation of what led here. The table
+    stays until ``forget`` or ``clean``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/inkwell/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave, once nothing will be computed from them again; others are left alone."""
+    for t in tables:
+        if getattr(t, "written_to", None):
+            _delete(t.sparkSession, t.written_to)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has written, once the results that read it are used or stored."""
+    _delete(spark, own_folder(spark))

@@ -1,10 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import context, merge, prompt, window
 from inkwell.registry import ContextProvider, Registry, deep_merge
-from inkwell.sources import log, responses, tables
+from inkwell.sources import log, responses, shared, tables
 
 
 def test_log_round_trip(spark, tmp_path):
@@ -74,3 +75,31 @@ def test_reserved_and_windows(spark):
     assert sorted(tuple(r) for r in context.without_reserved(t, context.reserved_names(spark)).select("filetype", "name").collect()) == [("go", "self"), ("python", "x")]
     w = spark.range(1).select(window.line_window(F.lit("a\nbc\nd"), F.lit(1), F.lit(1), 1).alias("w")).first().w
     assert tuple(w) == ("a\nb", "c\nd")
+
+
+def test_shared_folder_is_required_off_local_masters():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session())
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session())
+
+
+def test_written_tables_can_be_forgotten(spark):
+    import os
+
+    kept, gone = (shared.written(spark.range(3), "t") for _ in range(2))
+    shared.forget(gone, spark.range(1))
+    assert kept.count() == 3 and not os.path.exists(gone.written_to.removeprefix("file://"))
+    shared.clean(spark)
+    assert not os.path.exists(kept.written_to.removeprefix("file://"))
