@@ -9,12 +9,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
 
-SLOTS = 1 << 16
+#: Slots of n-grams of word shapes, then of words.
+SHAPES, WORDS = 1 << 16, 1 << 18
+SLOTS = SHAPES + WORDS
+#: What a word's ratio counts next to a shape's: a text has many more words than shapes, and most are rare.
+WORD_WEIGHT = 0.25
 #: At most so many labelled rows, those with the smallest hashes of their ids, train the model.
 MOST_ROWS = 6000
 THRESHOLD = 0.7
@@ -34,16 +39,25 @@ def squeezed(raw: bytes) -> bytes:
 
 
 def slot(gram: tuple) -> int:
-    return zlib.crc32(b"\x00".join(gram)) % SLOTS
+    return zlib.crc32(b"\x00".join(gram)) % SHAPES
 
 
 _slots: dict[tuple, int] = {}
+K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def word_slots(raw: bytes) -> np.ndarray:
+    """Slots of the words (ASCII letters lowered) and of pairs of neighbours, repeats included."""
+    digest = xxhash.xxh3_64_intdigest
+    h = np.array([digest(w) for w in raw.lower().split()], np.uint64)
+    grams = np.concatenate([h * K2, h[:-1] * K1 + h[1:] * K2]) if len(h) else h
+    return (grams >> np.uint64(65 - WORDS.bit_length())).astype(np.int32) + np.int32(SHAPES)
 
 
 def features(text: str) -> np.ndarray:
     """The n-grams that a text has, as sorted slots.
 
-    Grams are of one to three words' shapes (``Word,`` is ``Aa,``), where a word equal to the one before it
+    Grams are of one and two words, and of one to three words' shapes (``Word,`` is ``Aa,``), where a word equal to the one before it
     is marked, as are the first and the last word; and of shapes that make up a tenth, a quarter or half of
     all words.
     """
@@ -67,7 +81,7 @@ def features(text: str) -> np.ndarray:
         if s is None:
             s = _slots[g] = slot(g)
         out.append(s)
-    return np.unique(np.array(out, np.int32))
+    return np.unique(np.concatenate([np.array(out, np.int32), word_slots(raw)]))
 
 
 @dataclass
@@ -90,7 +104,9 @@ def ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.nda
     p, q = np.full(SLOTS, smooth), np.full(SLOTS, smooth)
     for x, label in zip(rows, y):
         (p if label > 0 else q)[x] += 1
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    r = np.log(p / p.sum()) - np.log(q / q.sum())
+    r[SHAPES:] *= WORD_WEIGHT
+    return r
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -170,25 +186,25 @@ def featured(docs: DataFrame, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in pieces(batch, "text"):
-                x = pa.array([features(t) for t in texts], pa.list_(pa.int32()))
+                x = pa.array([features(t).tobytes() for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], x], names=[*keep, "x"])
 
-    return d.mapInArrow(run, f"{kinds}, x array<int>")
+    return d.mapInArrow(run, f"{kinds}, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     """A model from labelled rows that are not held out.
 
     At most ``most`` of them, those with the smallest hashes of their ids, so that runs agree and the driver
-    gets a bounded number of rows, each with at most SLOTS n-grams. Of several labels the lowest counts.
+    gets a bounded number of rows, each with at most SLOTS n-grams of four bytes. Of several labels the lowest counts.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
     # a bounded number of rows of three numbers each
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     got = featured(rows, "doc_id", "quality", "h").collect()
-    got = list({r["doc_id"]: r for r in sorted(got, key=lambda r: (r["h"], r["doc_id"], r["x"]))}.values())
-    return fit([np.array(r["x"], np.int64) for r in got], np.array([r["quality"] for r in got]))
+    got = list({r["doc_id"]: r for r in sorted(got, key=lambda r: (r["h"], r["doc_id"], bytes(r["x"])))}.values())
+    return fit([np.frombuffer(bytes(r["x"]), np.int32) for r in got], np.array([r["quality"] for r in got]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -125,6 +125,18 @@ def test_classifier_on_held_out_rows(spark):
     assert quality.score(d.where("false"), model).count() == 0
 
 
+def test_words_decide_between_equal_shapes(spark):
+    """Fluent texts of one shape that differ in their words alone, one of them empty of known words."""
+    rnd = random.Random(6)
+    good, bad = ([a + b for a in x for b in "abcdefgh"] for x in (["mo", "la", "si"], ["zu", "kre", "vi"]))
+    both = ["".join(rnd.choice("stuvw") for _ in range(4)) for _ in range(60)]
+    rows = [(i, " ".join(rnd.choice(both if rnd.random() < 0.6 else good if i % 3 else bad) for _ in range(60)), "s") for i in range(600)]
+    model = quality.train(frame(spark, rows), frame(spark, [(i, int(i % 3 > 0), 0) for i, _, _ in rows], "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in quality.score(frame(spark, rows), model).withColumn("held", quality.held_out(F.col("doc_id"))).collect()}
+    held = [r for r in got.values() if r.held]
+    assert len(held) > 100 and sum(r.predicted == int(r.doc_id % 3 > 0) for r in held) >= 0.97 * len(held)
+
+
 def test_classifier_without_labels(spark):
     d = frame(spark, [(1, "a b", "s")])
     none = frame(spark, [], "doc_id long, quality int, toxic int")
