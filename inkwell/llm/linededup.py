@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, shielded, written
+from .common import SPACES, ascii_lower, forget, shielded, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -61,7 +61,9 @@ def keep_maps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_D
     hit = lines.join(shared_lines(lines, min_docs), ["k1", "k2"]).where(F.col("doc_id") != F.col("holder"))
     drops = hit.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("at")).alias("drops"))
     gaps = F.transform("drops", lambda x, i: F.when(i == 0, x).otherwise(x - F.get("drops", i - 1) - 1))
-    return drops.select("doc_id", "th", F.size("drops").cast("long").alias("n_dropped"), gaps.alias("gaps"))
+    maps = written(drops.select("doc_id", "th", F.size("drops").cast("long").alias("n_dropped"), gaps.alias("gaps")), "maps")
+    forget(lines)
+    return maps
 
 
 def apply_maps(docs: DataFrame, maps: DataFrame) -> DataFrame:

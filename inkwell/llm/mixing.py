@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shielded, word_count, written
+from .common import forget, shielded, word_count, written
 
 #: Hash bits: LEVELS nested histograms of 2**BITS buckets each. Buckets of the last level hold about
 #: one document in 2**36 of a source.
@@ -23,7 +23,7 @@ def targets(sizes: DataFrame, cycle: int = 3, share: float = 1.0, most: int = 3)
     """(source, source_size) to (source, source_size, weight, target).
 
     Sources by code point, null last, weigh 1 to ``cycle``, repeating. Targets share ``share`` of all
-    sizes by weight; one above ``most`` times its source's size stops there and the excess goes to the
+    sizes by weight (equal caps per weight go by source); one above ``most`` times its source's size stops there and the excess goes to the
     others by weight. That is a water level: in order of cap per weight, a source is capped while its cap
     lies below its share of what earlier caps leave, so one ordered pass settles it. One row per source.
     """
@@ -55,6 +55,7 @@ def thresholds(narrow: DataFrame, goals: DataFrame, levels: int = LEVELS, bits:
     n = 1 << bits
     g = goals.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(3))).otherwise(F.lit(0)).cast("long"))
     g = g.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long")).withColumn("open", F.col("rest") > 0)
+    levels_read: list[DataFrame] = []
     for level in range(levels):
         shift = bits * (levels - 1 - level)
         cells = narrow if level == 0 else same_source(narrow, g.select("source", "prefix", "open")).where(F.col("open") & (F.shiftright("h", shift + bits) == F.col("prefix")))
@@ -75,7 +76,9 @@ def thresholds(narrow: DataFrame, goals: DataFrame, levels: int = LEVELS, bits:
             prefix = prefix + F.when(F.col("open") & nearer, 1).otherwise(0)
         rest = F.when(F.col("open") & F.lit(not last), F.col("rest") - F.col("at.under")).otherwise(F.col("rest"))
         # one row a source, written so that the next level does not count this one again
-        g = written(g.withColumn("prefix", prefix.cast("long")).withColumn("rest", rest).drop("at", "top"), "mix-level")
+        before, g = levels_read, written(g.withColumn("prefix", prefix.cast("long")).withColumn("rest", rest).drop("at", "top"), "mix-level")
+        forget(*before)
+        levels_read = [g]
     return g.select("source", "source_size", "target", "passes", F.col("prefix").alias("cut"))
 
 
@@ -104,9 +107,9 @@ def times(h: Column, most: int = 3) -> Column:
 def mix(docs: DataFrame, cycle: int = 3, share: float = 1.0, most: int = 3) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken.
 
-    size is the number of words (null or blank text: 0). taken is size times how often the mix takes the
+    size is the number of words of the whole text, however long (null or blank text: 0). taken is size times how often the mix takes the
     document, 0 to ``most``. An empty table gives an empty result; rows that repeat an id share its hash and
-    stand or fall together; a null source is a source. Columns other than doc_id, text and source are ignored.
+    stand or fall together, as do ids of equal hash; a null source is a source. Columns other than doc_id, text and source are ignored.
     """
     narrow, cuts = plan(docs, cycle, share, most)
     out = same_source(narrow, cuts)

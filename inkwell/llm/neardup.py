@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .common import written
+from .common import forget, written
 
 #: Each of HASHES permutations gives its minimum and its maximum, so BANDS * ROWS is twice HASHES. A pair at
 #: similarity 0.8 is missed by all bands with a chance of (1 - 0.8**5)**32, about 3 in a million.
@@ -152,11 +152,14 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct())
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = least_of(both).select("u", F.least("u", "m").alias("m"))
-        e = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        moved = e.join(least_of(e), "u")
+        least = least_of(both)
+        larger = written(both.join(least.select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        forget(e, least)
+        least = least_of(larger)
+        moved = larger.join(least, "u")
         e = moved.select("u", F.col("m").alias("v")).unionByName(moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         e = written(e, "edges")
+        forget(larger, least)
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -305,6 +308,7 @@ def near_duplicates(docs: DataFrame, similar: int = 80, width: int = 5) -> DataF
     keyed = written(kept.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key")), "keys")
     buckets = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub")).where("n > 1"), "sizes")
     members = written(keyed.join(buckets, "key"), "buckets")
+    forget(keyed, buckets)
     met = members.where("doc <> hub").groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("times"))
     first = met.groupBy("doc").agg(F.max(F.struct("times", (-F.col("hub")).alias("to"))).alias("best")).select(F.col("doc").alias("a"), (-F.col("best.to")).alias("b"))
     tried = written(first, "pairs")
@@ -320,6 +324,7 @@ def near_duplicates(docs: DataFrame, similar: int = 80, width: int = 5) -> DataF
         found = written(across(rest, sets, similar), "links")
         if not found.isEmpty():
             labels = written(relabelled(labels, components(found)), "labels")
+    forget(members, tried, ids, sets, more, found, rest)
     c = own.join(labels, own["first"] == labels["doc"], "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
     c = c.unionByName(labels.join(own.select(F.col("doc_id").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("doc_id"), F.col("component").alias("component_id"))).distinct()
     out = sig.select("doc_id", "n_shingles").join(c.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").drop("of")
