@@ -57,6 +57,8 @@ def diagnostics_content(diagnostic: Column, symbols: Column, hover: Column) -> C
 def first_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows that agree in ``keys``, the one with the least ``order``. Combined per task before the shuffle."""
     rest = [c for c in rows.columns if c not in keys and c != order]
+    if not rest:  # a plain minimum has a hash aggregate, a struct's has none
+        return rows.groupBy(*keys).agg(F.min(order).alias(order))
     best = rows.groupBy(*keys).agg(F.min_by(F.struct(order, *rest), order).alias("_best"))
     return best.select(*keys, "_best.*")
 
@@ -116,9 +118,11 @@ def enclosing(points: DataFrame, spans: DataFrame, by: list[str], width: int = 1
     return best.select(*points.columns, "_span.*")
 
 
-def node_at(points: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
-    """``points`` (by, at) with the smallest node (by, node_id, first, last) that covers them."""
-    hit = points.join(nodes, by).where(F.col("at").between(F.col("first"), F.col("last")))
+def node_at(points: DataFrame, nodes: DataFrame, by: list[str], width: int = 1024) -> DataFrame:
+    """``points`` (by, at) with the smallest node (by, node_id, first, last) that covers them, met on stretches as in ``enclosing``."""
+    cells = nodes.withColumn("_cell", F.explode(F.sequence((F.col("first") / width).cast("long"), (F.col("last") / width).cast("long"))))
+    p = points.withColumn("_cell", (F.col("at") / width).cast("long"))
+    hit = p.join(cells, [*by, "_cell"]).where(F.col("at").between(F.col("first"), F.col("last")))
     rest = [c for c in nodes.columns if c not in by]
     best = hit.groupBy(*points.columns).agg(F.min_by(F.struct(*rest), F.struct(F.col("last") - F.col("first"), "node_id")).alias("_node"))
     return best.select(*points.columns, "_node.*")

@@ -353,9 +353,9 @@ def cycle_index(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.next_index(i, n).alias("next"), T.previous_index(i, n).alias("previous"))
 
 
-@query("SELECT doc_id, CAST(length(left(text, 40)) + len(regexp_extract_all(left(text, 40), '[\\x{10000}-\\x{10FFFF}]')) AS INT) AS units, CAST(strlen(left(text, 40)) AS INT) AS bytes FROM documents")
+@query("SELECT doc_id, CAST(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS INT) AS units, CAST(strlen(text) AS INT) AS bytes FROM documents")
 def utf16_offsets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.utf16_offset(F.col("text"), F.lit(40)).alias("units"), F.octet_length(F.substring("text", 1, 40)).alias("bytes"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.utf16_offset(F.col("text"), F.length("text")).alias("units"), F.octet_length("text").alias("bytes"))
 
 
 @query("SELECT o_orderkey, CASE WHEN coalesce(m, c, 'fim') IN ('chat', 'fim') THEN coalesce(m, c, 'fim') ELSE 'fim' END AS formatter, CASE a WHEN 'chat' THEN 'chat' WHEN 'fim' THEN 'fim' WHEN 'general_ai' THEN 'chat' WHEN 'santacoder' THEN 'fim' END AS alias FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'other' END AS m, CASE o_orderkey % 2 WHEN 0 THEN 'chat' END AS c, ['chat', 'fim', 'general_ai', 'santacoder', 'unheard'][o_orderkey % 5 + 1] AS a FROM orders) t")

@@ -12,7 +12,7 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import fixed
@@ -181,20 +181,16 @@ def cache_hits(accesses: DataFrame, capacity: int = fixed.CACHED_BUFFERS) -> Dat
 def rejected_memory(events: DataFrame) -> DataFrame:
     """(client, id, rejected): each request with the completions rejected since the request before it, then forgotten.
 
-    Of events (client, id, ts, kind, completion) with kinds request and reject.
+    Of events (client, id, ts, kind, completion) with kinds request and reject. A running count of requests
+    numbers the spans between them; what is rejected in a span belongs to the request that ends it.
     """
-    kind = events.schema["client"].dataType.simpleString()
-
-    def each(state: list, r: dict | None) -> Iterator[dict]:
-        if r is None:
-            return
-        if r["kind"] == "reject":
-            state.append(r["completion"])
-        elif r["kind"] == "request":
-            yield {"id": r["id"], "rejected": list(state)}
-            state.clear()
-
-    return scan(events, "client", ["ts", "id"], list, each, f"client {kind}, id long, rejected array<string>")
+    order = Window.partitionBy("client").orderBy("ts", "id")
+    request, reject = F.col("kind") == "request", F.col("kind") == "reject"
+    before = F.coalesce(F.sum(F.when(request, 1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = events.where(request | reject).withColumn("span", before).groupBy("client", "span")
+    held = F.sort_array(F.collect_list(F.when(reject, F.struct("ts", "id", "completion"))))
+    out = spans.agg(F.max(F.when(request, F.col("id").cast("long"))).alias("id"), F.count_if(request).alias("n"), F.transform(held, lambda x: x["completion"]).alias("rejected"))
+    return out.where("n = 1").select("client", "id", "rejected")
 
 
 def as_events(rows: DataFrame, **columns) -> DataFrame:
