@@ -90,5 +90,6 @@ FIM_USER_2 = "\n\nSuffix:\n"
 END_OF_TEXT = "<EOT>"
 DIAGNOSTICS_HEADER = "-- LSP Diagnostics:\n"
 BUFFERS_HEADER = "-- Related buffer content:\n"
+BUFFER_NAME = "-- From buffer: "
 DEFINITIONS_HEADER = "-- LSP Definitions:"
 TRUNCATED = "\n-- [truncated]"

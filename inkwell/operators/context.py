@@ -15,12 +15,16 @@ from inkwell.sources.shared import written
 def neighbours(buffers: DataFrame, current: Column, most: int = fixed.MAX_BUFFERS, most_lines: int = fixed.MAX_LINES_PER_BUFFER) -> DataFrame:
     """(id, n_buffers, content) for the ``current`` ones of buffers (id, filetype, text).
 
-    The first ``most`` other buffers of the same filetype in id order, non-empty, their first lines. Only the
-    first most + 1 of a filetype can ever be among them, so they are found once and joined: the self-join never
-    sees more than that many rows a filetype.
+    The first ``most`` other buffers of the same filetype in id order, non-empty, their first lines. Buffers with
+    loaded, listed and name must be eligible ones, and each comes under its name. Only the first most + 1 of a
+    filetype can ever be among them, so they are found once and joined: the self-join never sees more than that
+    many rows a filetype.
     """
     usable = buffers.where(F.col("text").isNotNull() & (F.col("text") != ""))
     head = F.array_join(F.slice(lines(F.col("text")), 1, most_lines), "\n")
+    if {"loaded", "listed", "name"} <= set(buffers.columns):
+        usable = eligible_buffers(buffers)
+        head = F.concat(F.lit(fixed.BUFFER_NAME), F.col("name"), F.lit("\n\n"), head)
     first = usable.withColumn("r", F.row_number().over(Window.partitionBy("filetype").orderBy("id"))).where(F.col("r") <= most + 1)
     first = first.groupBy("filetype").agg(F.array_sort(F.collect_list(F.struct("id", head.alias("head")))).alias("firsts"))
     cur = buffers.where(current).select("id", "filetype").join(first, "filetype", "left")
@@ -199,9 +203,13 @@ def adjacent(comments: DataFrame, functions: DataFrame, by: list[str]) -> DataFr
     return comments.join(f, [comments[b] == f[b] for b in by] + [comments["last"] == f["_at"]], "left").select(*[comments[c] for c in comments.columns], "f_first", "f_last")
 
 
-def has_code(text: Column) -> Column:
-    """Whether any line is not blank."""
-    return F.exists(lines(text), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
+def has_code(text: Column, root_kinds: Column | None = None) -> Column:
+    """Whether the root of the syntax tree has a child that is no comment, by ``root_kinds`` (their kinds).
+
+    Where there is no tree (null, or none given): whether any line is not blank.
+    """
+    filled = F.exists(lines(text), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
+    return filled if root_kinds is None else F.when(root_kinds.isNull(), filled).otherwise(F.exists(root_kinds, lambda k: k != "comment"))
 
 
 def cursor_kind(code: Column, in_comment_before_function: Column, in_function: Column) -> Column:

@@ -380,6 +380,20 @@ def neighbour_buffers(spark, sf_dir):
     return context.neighbours(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("filetype"), "text"), F.lit(True))
 
 
+@query(
+    f"""WITH b AS (SELECT doc_id, lang, text, source || '/' || doc_id AS name FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0 AND text <> '' AND source <> ''),
+p AS (SELECT d.doc_id AS cur, b.doc_id, {q(fixed.BUFFER_NAME)} || name || {NL} || {NL} || array_to_string(list_slice(string_split(b.text, {NL}), 1, 10), {NL}) AS part FROM documents d JOIN
+  (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM b) b ON b.lang = d.lang AND b.doc_id <> d.doc_id AND b.r <= 4),
+g AS (SELECT cur, count(*) AS n, string_agg(part, {NL} || {NL} ORDER BY doc_id) AS t FROM (SELECT *, row_number() OVER (PARTITION BY cur ORDER BY doc_id) AS k FROM p) x WHERE k <= 3 GROUP BY cur)
+SELECT d.doc_id AS id, coalesce(n, 0) AS n_buffers, CASE WHEN n > 0 THEN {q(fixed.BUFFERS_HEADER)} || t ELSE '' END AS content FROM documents d LEFT JOIN g ON g.cur = d.doc_id"""
+)
+def named_neighbours(spark, sf_dir):
+    k = F.col("doc_id")
+    name = T.relative_path(F.concat(F.lit("/w/"), "source", F.lit("/"), k.cast("string")), F.lit("/w"))
+    b = table(spark, sf_dir, "documents").select(k.alias("id"), F.col("lang").alias("filetype"), "text", (k % 2 == 0).alias("loaded"), (k % 3 != 0).alias("listed"), F.when(F.col("source") != "", name).alias("name"))
+    return context.neighbours(b, F.lit(True))
+
+
 DIAG = "SELECT user_id AS buffer, event_id AS id, CAST(json_extract_string(props, '$.k') AS INT) AS lnum, CASE event_type WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 ELSE 9 END AS severity, event_type AS message FROM events"
 
 
@@ -521,6 +535,23 @@ def ancestor_chain(spark, sf_dir):
     return context.ancestors(nodes)
 
 
+@query(
+    f"""WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent, c_mktsegment AS type, repeat(c_name, CAST(c_custkey % 17 + 1 AS INT)) AS text FROM customer),
+a AS (SELECT id AS start, parent AS at, 0 AS k, 0 AS size, CAST([] AS VARCHAR[]) AS parts, false AS done FROM n
+  UNION ALL SELECT a.start, n.parent, a.k + 1, CASE WHEN a.size + length(n.text) <= 500 THEN a.size + length(n.text) ELSE a.size END,
+    CASE WHEN a.size + length(n.text) <= 500 THEN list_concat(['-- [' || n.type || ']' || {NL} || n.text], a.parts) ELSE a.parts END, a.size + length(n.text) >= 500
+    FROM a JOIN n ON n.id = a.at WHERE a.k < 3 AND NOT a.done),
+p AS (SELECT start AS id, array_to_string(arg_max(parts, k), {NL} || {NL}) AS up FROM a GROUP BY start),
+c AS (SELECT id, '-- Current node: ' || type || CASE WHEN up <> '' THEN {NL} || '-- Parent context:' || {NL} || up ELSE '' END AS content FROM p JOIN n USING (id))
+SELECT id, CASE WHEN length(content) > 500 THEN left(content, 500) || {NL} || '-- [truncated]' ELSE content END AS content FROM c"""
+)
+def node_context(spark, sf_dir):
+    k = F.col("c_custkey")
+    nodes = table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).alias("parent"), F.col("c_mktsegment").alias("type"), F.repeat("c_name", (k % 17 + 1).cast("int")).alias("text"))
+    up = context.ancestors(nodes).select("id", F.col("content").alias("up"))
+    return nodes.join(up, "id").select("id", context.node_content(F.col("type"), F.col("up")).alias("content"))
+
+
 @query(
     """WITH RECURSIVE s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 1 THEN NULL WHEN c_custkey % 10 > 1 THEN c_custkey - 1 ELSE c_custkey - 5 END AS parent, c_mktsegment AS name FROM customer),
 f AS (SELECT id, 0 AS depth, name AS path FROM s WHERE parent IS NULL UNION ALL SELECT s.id, f.depth + 1, f.path || '/' || s.name FROM s JOIN f ON s.parent = f.id)
@@ -572,6 +603,14 @@ def cursor_kinds(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", context.cursor_kind(context.has_code(F.col("text")), k == 0, k == 1).alias("kind"), T.truncated(F.col("text")).alias("cut"))
 
 
+@query(r"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN regexp_matches(text, '[^ \t\n\x0B\f\r]') ELSE doc_id % 4 = 3 END AS code FROM documents")
+def code_by_tree(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    comment, block = F.lit("comment"), F.lit("block")
+    kinds = F.when(k == 1, F.array().cast("array<string>")).when(k == 2, F.array(comment)).when(k == 3, F.array(comment, block))
+    return table(spark, sf_dir, "documents").select("doc_id", context.has_code(F.col("text"), kinds).alias("code"))
+
+
 @query("SELECT s_suppkey AS client FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 def capable_clients(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("client"), "s_suppkey")
@@ -710,6 +749,19 @@ def interaction_outcomes(spark, sf_dir):
     return log.outcomes(e, resp, acc)
 
 
+@query(
+    """WITH r AS (SELECT event_id AS request_id, CAST(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'view'),
+s AS (SELECT request_id, ts + to_minutes(CAST(request_id % 8 AS INT)) AS response_ts FROM r WHERE request_id % 5 <> 0)
+SELECT r.request_id, epoch_ms(response_ts) - epoch_ms(ts) AS took_ms FROM r LEFT JOIN s ON s.request_id = r.request_id AND response_ts >= ts AND response_ts <= ts + INTERVAL 5 MINUTES"""
+)
+def answered_requests(spark, sf_dir):
+    i = F.col("event_id")
+    r = table(spark, sf_dir, "events").where("event_type = 'view'").select(i.alias("request_id"), F.col("ts").cast("timestamp").alias("ts"))
+    s = r.where("request_id % 5 <> 0").withColumn("ts", F.col("ts") + F.make_dt_interval(mins=(F.col("request_id") % 8).cast("int")))
+    took = F.unix_millis("response_ts") - F.unix_millis("ts")
+    return events.answered(r, s).select("request_id", took.alias("took_ms"))
+
+
 @query(
     """WITH e AS (SELECT event_id, ['CursorMovedI', 'InsertEnter', 'InsertLeave', 'BufLeave', 'Other'][event_id % 5 + 1] AS kind, event_id % 11 = 0 AS pending, event_id % 2 = 0 AS visible, event_id % 7 <> 0 AS on_row, event_id % 3 - 1 AS moved, event_id % 4 < 2 AS ok FROM events)
 SELECT event_id, CASE WHEN kind = 'InsertEnter' THEN 'trigger' WHEN kind IN ('InsertLeave', 'BufLeave') THEN 'dismiss' WHEN kind = 'Other' THEN 'nothing' WHEN pending THEN 'validate' WHEN NOT visible THEN 'trigger'

@@ -29,6 +29,18 @@ def latest_wins_stream(requests: DataFrame, by: str, late: str, window: str) ->
     return requests.withWatermark("ts", late).groupBy(by, F.window("ts", window).alias("w")).agg(newest.alias("x")).select(by, "x.*")
 
 
+def answered(requests: DataFrame, responses: DataFrame, late: str = "10 minutes", within: str = "5 minutes") -> DataFrame:
+    """(request_id, ts, response_ts): requests (request_id, ts) with their response (request_id, ts) in time, else null.
+
+    Works on tables and on streams. A stream keeps a request only until the watermark has passed all responses that
+    it could have; a request without one comes out then, so the last ones need later events.
+    """
+    r = requests.select("request_id", "ts").withWatermark("ts", late)
+    s = responses.select(F.col("request_id").alias("of"), F.col("ts").alias("response_ts")).withWatermark("response_ts", late)
+    in_time = F.col("response_ts").between(F.col("ts"), F.col("ts") + F.expr(f"INTERVAL {within}"))
+    return r.join(s, (F.col("request_id") == F.col("of")) & in_time, "left").select("request_id", "ts", "response_ts")
+
+
 def verdict(stale: Column, mode: Column, deferred: Column, row0: Column, col0: Column, row: Column, col: Column, n_completions: Column) -> Column:
     """What becomes of a result: the first of stale, left insert mode, moved (only the row counts if deferred), empty; else used."""
     moved = F.when(deferred, row != row0).otherwise((row != row0) | (col != col0))

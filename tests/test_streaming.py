@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from inkwell.sources import log
 from inkwell.streaming import events, machine
 
 START = dt.datetime(2024, 1, 1)
@@ -108,3 +109,46 @@ def test_latest_wins(spark):
     assert [r.stale for r in d.collect()] == [True, False, False]
     assert events.latest_wins(spark.createDataFrame([], d.drop("stale").schema), "user").count() == 0
     assert d.select(F.max("id")).first()[0] == 2
+
+
+def test_latest_wins_stream(spark, tmp_path):
+    rows = [(1, i, START + dt.timedelta(seconds=s)) for i, s in enumerate([0, 3, 8, 20])] + [(2, 9, START), (1, 99, START + dt.timedelta(days=1))]
+    spark.createDataFrame(rows, "user int, id int, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user int, id int, ts timestamp").parquet(str(tmp_path / "in"))
+    out = events.latest_wins_stream(stream, "user", "1 minute", "10 seconds")
+    q = out.writeStream.format("memory").queryName("newest").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    events.finish(q)
+    assert sorted((r.user, r.id) for r in spark.table("newest").collect()) == [(1, 2), (1, 3), (2, 9)]
+
+
+def test_answered_stream_equals_batch(spark, tmp_path):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    asked = [(i, at(10 * i)) for i in range(20)]
+    told = [(i, at(10 * i + i * 30)) for i in range(0, 20, 2)] + [(777, at(5))]
+    schema = "request_id int, ts timestamp"
+    for name, rows in (("asked", asked), ("told", told)):
+        for part in (rows, [(1000, at(86_400))], [(1001, at(2 * 86_400))]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    q = events.answered(read("asked"), read("told")).writeStream.format("memory").queryName("answered").option("checkpointLocation", str(tmp_path / "c")).start()
+    events.finish(q)
+    want = sorted((i, str(at(10 * i + i * 30)) if i % 2 == 0 and i * 30 <= 300 else "None") for i, _ in asked)
+    key = lambda d: sorted((r.request_id, str(r.response_ts)) for r in d.where("request_id < 1000").collect())
+    assert key(events.answered(spark.createDataFrame(asked, schema), spark.createDataFrame(told, schema))) == want
+    assert key(spark.table("answered")) == want
+
+
+def test_log_of_a_stream(spark, tmp_path):
+    rows = [("request", f"r{i}") for i in range(5)]
+    spark.createDataFrame(rows, "event_type string, request_id string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_type string, request_id string").parquet(str(tmp_path / "in"))
+    q = events.append_stream(stream, str(tmp_path / "log"), str(tmp_path / "c"))
+    events.finish(q)
+    assert not q.isActive
+    assert sorted(r.request_id for r in log.read_log(spark, str(tmp_path / "log")).collect()) == [f"r{i}" for i in range(5)]
+
+
+def test_written_lines(spark, tmp_path):
+    for part in (["a", "b"], ["c"]):
+        log.write_lines(spark.createDataFrame([(x,) for x in part], "line string"), str(tmp_path / "text"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "text")).collect()) == ["a", "b", "c"]
