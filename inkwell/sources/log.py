@@ -43,7 +43,7 @@ SECRET = ("authorization", "api-key", "api_key", "apikey", "x-api-key", "token",
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The log; lines that are no JSON are kept whole in _corrupt. An empty list logged as {} reads as null."""
-    schema = T.StructType(SCHEMA.fields).add("_corrupt", T.StringType())
+    schema = T.StructType([*SCHEMA.fields]).add("_corrupt", T.StringType())
     log = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return log.withColumn("responses", F.try_variant_get("response_raw", "$", "array<string>"))
 
