@@ -118,9 +118,9 @@ def char_class(c: Column) -> Column:
     return F.when(c.rlike(f"^{WS}"), 3).when(c.rlike(f"^{KEYWORD}"), 1).otherwise(2)
 
 
-def word_spans(t: Column) -> Column:
-    """array<struct<first, last>> of the words, 1-based and inclusive."""
-    r = runs(t)
+def word_spans(t: Column, among: Column | None = None) -> Column:
+    """array<struct<first, last>> of the words, 1-based and inclusive; only those ``among`` so many first runs, if given."""
+    r = runs(t) if among is None else F.slice(runs(t), F.lit(1), among)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -147,14 +147,20 @@ def overlap_threshold(t: Column, spec: Column) -> Column:
     ``N+M``: N whole words and M characters of the next, or that part of it where 0 < M < 1. ``N``: N words and
     what follows up to the next. ``+M``: M characters. Zero words with characters give null.
     """
-    n, m, s = overlap_words(spec), overlap_chars(spec), word_spans(t)
-    nxt = F.get(s, n)
-    size = nxt["last"] - nxt["first"] + 1
-    extra = F.when((m > 0) & (m < 1), F.ceil(m * size)).otherwise(F.least(F.floor(m), size.cast("long")))
-    trailing = F.when(F.get(s, n - 1)["last"] < F.length(t), F.length(t))
-    no_chars = F.when(nxt.isNotNull(), nxt["first"] - 1).otherwise(trailing)
-    out = F.when(n.isNull(), F.floor(m)).when(n < 1, None).when(F.size(s) < n, None).when(m.isNull(), no_chars).when(nxt.isNotNull(), nxt["first"] - 1 + extra)
-    return out.cast("int")
+    n, m = overlap_words(spec), overlap_chars(spec)
+    # N+1 words are among the first 2N+3 runs; a lambda's argument is computed once, a column wherever it is named
+    enough = F.least(F.coalesce(n, F.lit(0)), F.lit(1_000_000_000)) * 2 + 3
+
+    def found(s: Column) -> Column:
+        nxt = F.get(s, n)
+        size = nxt["last"] - nxt["first"] + 1
+        extra = F.when((m > 0) & (m < 1), F.ceil(m * size)).otherwise(F.least(F.floor(m), size.cast("long")))
+        trailing = F.when(F.get(s, n - 1)["last"] < F.length(t), F.length(t))
+        no_chars = F.when(nxt.isNotNull(), nxt["first"] - 1).otherwise(trailing)
+        out = F.when(n.isNull(), F.floor(m)).when(n < 1, None).when(F.size(s) < n, None).when(m.isNull(), no_chars).when(nxt.isNotNull(), nxt["first"] - 1 + extra)
+        return out.cast("int")
+
+    return F.get(F.transform(F.array(word_spans(t, enough)), found), F.lit(0))
 
 
 def prefix_trimmed(completions: Column, typed: Column) -> Column:

@@ -722,16 +722,38 @@ def rejected_memory(spark, sf_dir):
     return m.select("client", "id", F.array_join("rejected", ",").alias("rejected"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE b AS (SELECT item_id % 40 AS item, list_sort(list(text)) AS texts FROM benchmark GROUP BY 1),
+z AS (SELECT item, texts, texts[1] AS text, length(regexp_extract(texts[1], '^{WS}*(?:{KEY}+|{OTHER}+){WS}*')) AS head FROM b),
+x AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, CASE event_type WHEN 'purchase' THEN 'response' WHEN 'signup' THEN 'leave' ELSE 'move' END AS kind FROM events),
+v AS (SELECT user_id AS u, event_id::VARCHAR AS id, epoch_us(ts) // 1000 AS ms, kind, CASE WHEN event_id % 13 = 0 THEN 2 ELSE 1 END AS row, CASE WHEN kind = 'response' THEN 0 ELSE k % 12 END AS col,
+  CASE WHEN event_id % 11 = 0 THEN '?' || text ELSE text END AS line, texts, CASE WHEN head < length(text) THEN head + 1 END AS need,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, kind, event_id::VARCHAR) AS n FROM x JOIN z ON z.item = x.user_id % 40),
+w AS (SELECT * FROM v UNION ALL SELECT u, NULL, 4611686018427387904, 'end', NULL, NULL, NULL, any_value(texts), NULL, max(n) + 1 FROM v GROUP BY u),
+s AS (SELECT DISTINCT u, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS BIGINT) AS ms, CAST(NULL AS INT) AS row, CAST(NULL AS INT) AS col, CAST(NULL AS VARCHAR) AS typed,
+  CAST(NULL AS VARCHAR) AS was, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS told, CAST(NULL AS BIGINT) AS told_ms FROM w
+  UNION ALL SELECT u, n, CASE WHEN kind = 'response' THEN new_id WHEN stays THEN id END, CASE WHEN kind = 'response' OR stays THEN new_ms END, CASE WHEN kind = 'response' THEN new_row WHEN stays THEN row END,
+    CASE WHEN kind = 'response' THEN new_col WHEN stays THEN col END, CASE WHEN kind = 'response' THEN '' WHEN stays THEN now END, id, reason,
+    CASE WHEN reason = 'idle' THEN typed WHEN reason <> 'cursor_moved' THEN now END, CASE WHEN reason = 'idle' THEN ms + 86400000 ELSE new_ms END
+  FROM (SELECT *, coalesce(kind = 'move' AND id IS NOT NULL AND reason IS NULL, false) AS stays
+    FROM (SELECT *, CASE WHEN id IS NULL THEN NULL WHEN new_ms - ms >= 86400000 THEN 'idle' WHEN kind <> 'move' THEN NULL WHEN new_row <> row OR new_col < col THEN 'cursor_moved'
+        WHEN len(list_filter(texts, lambda t: starts_with(t, now))) = 0 THEN 'mismatch' WHEN length(now) >= need THEN 'typed' END AS reason
+      FROM (SELECT s.u, w.n, s.id, s.ms, s.row, s.col, s.typed, w.id AS new_id, w.ms AS new_ms, w.row AS new_row, w.col AS new_col, w.kind, w.texts, w.need,
+          substring(w.line, s.col + 1, greatest(w.col - s.col, 0)) AS now FROM s JOIN w ON w.u = s.u AND w.n = s.n + 1) i1) i2) i3),
+o AS (SELECT s.u AS buffer_id, was AS request_id, make_timestamp(told_ms * 1000) AS ts, CASE WHEN reason IN ('idle', 'typed') THEN 'shown' ELSE 'rejected' END AS outcome, reason, told AS typed,
+  CASE WHEN reason IN ('idle', 'typed') THEN list_transform(list_filter(w.texts, lambda t: starts_with(t, told) AND length(t) > length(told)), lambda t: substring(t, length(told) + 1)) END AS shown
+  FROM s JOIN w ON w.u = s.u AND w.n = s.n WHERE reason IS NOT NULL)
+SELECT buffer_id, request_id, ts, outcome, reason, typed, array_to_string(shown, chr(1)) AS shown FROM o WHERE outcome = 'rejected' OR len(shown) > 0"""
+)
 def deferred_validation(spark, sf_dir):
-    """Users' events as edits over benchmark items; tests hold it against a plain loop and the stream."""
+    """Users' events as edits over benchmark items; the SQL goes event by event, the query by windows."""
     b = table(spark, sf_dir, "benchmark").groupBy((F.col("item_id") % 40).alias("item")).agg(F.sort_array(F.collect_list("text")).alias("texts")).withColumn("text", F.get("texts", F.lit(0)))
     e = edits(spark, sf_dir).withColumn("item", F.col("user_id") % 40).join(b, "item")
     kind = F.when(F.col("event_type") == "purchase", "response").when(F.col("event_type") == "signup", "leave").otherwise("move")
     col = (F.col("k") % 12).cast("int")
     line = F.when(F.col("id") % 11 == 0, F.concat(F.lit("?"), "text")).otherwise(F.col("text"))
     rows = machine.as_events(e, buffer_id=F.col("user_id"), ts=F.col("ts").cast("timestamp"), kind=kind, request_id=F.col("id").cast("string"), row=F.when(F.col("id") % 13 == 0, 2).otherwise(1), col=F.when(kind == "response", 0).otherwise(col), line=line, candidates=F.col("texts"))
-    return machine.validated(rows, idle_ms=86_400_000)
+    return machine.validated(rows, idle_ms=86_400_000).withColumn("shown", F.array_join("shown", "\x01"))
 
 
 LOG = """req AS (SELECT event_id AS request_id FROM events WHERE event_type = 'view'), resp AS (SELECT event_id AS request_id, event_id % 4 AS n FROM events WHERE event_type = 'view' AND event_id % 5 <> 0),

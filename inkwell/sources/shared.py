@@ -1,13 +1,22 @@
-"""The folder that the driver and all executors share, and tables written to it."""
+"""What the driver and all executors share: a folder, tables written to it, and this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed but lies at the same path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A cluster names it in ``spark.checkpoint.dir``.
 

@@ -1,6 +1,6 @@
 """The deferred-validation state machine, and scans of ordered events through keyed states.
 
-One plain step function serves both the batch scan and the stream.
+The stream applies one plain step function; the batch form says the same in windows.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions import fixed
+from inkwell.functions import fixed, text
+from inkwell.sources.shared import reachable
 
 EVENTS = "buffer_id long, ts timestamp, kind string, request_id string, row int, col int, line string, candidates array<string>"
 OUTCOMES = "buffer_id long, request_id string, ts timestamp, outcome string, reason string, typed string, shown array<string>"
 _WORD = re.compile("[A-Za-z0-9_À-ÿ]+|[^A-Za-z0-9_À-ÿ \\t\\n\\x0b\\f\\r]+")
 
 
-def threshold(text: str, spec: str) -> int | None:
+def threshold(first: str, spec: str) -> int | None:
     """As functions.text.overlap_threshold, for one text."""
     m = re.fullmatch(r"([0-9]+)?(?:\+([0-9]*\.?[0-9]+))?", spec)
     if not m or not (m[1] or m[2]):
@@ -30,11 +31,11 @@ def threshold(text: str, spec: str) -> int | None:
     chars = float(m[2]) if m[2] else None
     if m[1] is None:
         return math.floor(chars)
-    n, spans = int(m[1]), [x.span() for x in _WORD.finditer(text)]
+    n, spans = int(m[1]), [x.span() for x in _WORD.finditer(first)]
     if n < 1 or len(spans) < n:
         return None
     if chars is None:
-        return spans[n][0] if len(spans) > n else len(text) if spans[n - 1][1] < len(text) else None
+        return spans[n][0] if len(spans) > n else len(first) if spans[n - 1][1] < len(first) else None
     if len(spans) <= n:
         return None
     size = spans[n][1] - spans[n][0]
@@ -94,6 +95,7 @@ def scan(events: DataFrame, by: str, order: list[str], make: Callable[[], object
 
     Keys are partitioned and sorted, then read as a stream: a task holds one state, never a key's rows.
     """
+    reachable(events.sparkSession)
     names = events.columns
     sorted_ = events.repartition(by).sortWithinPartitions(by, *order)
     fields = [f.strip().split(" ")[0] for f in re.split(r",(?![^<]*>)", schema)]
@@ -121,20 +123,50 @@ def _timed(x: dict) -> dict:
 
 
 def validated(events: DataFrame, spec: str = fixed.DEFAULT_OVERLAP, idle_ms: int = fixed.IDLE_MS) -> DataFrame:
-    """Outcomes of all events of a table; what is pending at the end is shown when its timer would fire."""
+    """Outcomes of all events of a table; what is pending at the end is shown when its timer would fire.
 
-    def each(state: dict, r: dict | None) -> Iterator[dict]:
-        e = {"ms": 2**62, "kind": "end"} if r is None else r | {"ms": int(pd.Timestamp(r["ts"]).value // 1_000_000)}
-        state["p"], out = step(state.get("p"), e, spec, idle_ms)
-        yield from map(_timed, out)
-
-    return scan(events, "buffer_id", ["ts", "kind"], dict, each, OUTCOMES)
+    A move is judged against the latest response alone, so each row tells by itself whether it would end what
+    is pending, and the first that does so after a response is the outcome. Ties go by kind, then request. One
+    exchange by buffer; rows of a buffer are sorted and spill, but are one task's.
+    """
+    order = Window.partitionBy("buffer_id").orderBy("ts", "kind", "request_id")
+    response, move = F.col("kind") == "response", F.col("kind") == "move"
+    offered = F.coalesce("candidates", F.array().cast("array<string>"))
+    # the threshold comes with the response, so it is found once and not at each move
+    need = text.overlap_threshold(F.get(offered, F.lit(0)), F.lit(spec))
+    own = F.when(response, F.struct("request_id", "row", "col", offered.alias("candidates"), need.alias("need")))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = events.where(F.col("kind").isin("response", "move", "leave")).withColumn("ms", F.unix_millis("ts"))
+    e = e.withColumns({"p": F.last(own, ignorenulls=True).over(so_far), "span": F.count_if(response).over(so_far), "next": F.lead("ms").over(order)})
+    e = e.where("span > 0")
+    at, candidates, col, size = F.col("p.col"), F.col("p.candidates"), F.col("col"), F.length("typed")
+    e = e.withColumn("typed", F.when(move, F.substring(F.coalesce("line", F.lit("")), at + 1, F.greatest(col, at) - at)).otherwise(""))
+    waits = F.coalesce(F.col("next") - F.col("ms") >= idle_ms, F.lit(True)) if idle_ms > 0 else F.lit(False)
+    reason = (
+        F.when(F.col("kind") == "leave", "left")
+        .when(move & ((F.col("row") != F.col("p.row")) | (col < at)), "cursor_moved")
+        .when(move & ~F.coalesce(F.exists(candidates, lambda c: c.startswith(F.col("typed"))), F.lit(False)), "mismatch")
+        .when(move & (size >= F.col("p.need")), "typed")
+        .when(response & F.lit(idle_ms == 0), "at once")
+        .when(waits, "idle")
+    )
+    first = Window.partitionBy("buffer_id", "span").orderBy("ts", "kind", "request_id")
+    e = e.withColumn("reason", reason).where("reason is not null").withColumn("nth", F.row_number().over(first)).where("nth = 1 and reason <> 'left'")
+    rejected = F.col("reason").isin("cursor_moved", "mismatch")
+    left = F.transform(F.filter(candidates, lambda c: c.startswith(F.col("typed")) & (F.length(c) > size)), lambda c: F.substring(c, size + 1, F.length(c)))
+    e = e.withColumn("shown", F.when(~rejected, left)).where(rejected | (F.size("shown") > 0))
+    when = F.timestamp_millis(F.col("ms") + F.when(F.col("reason") == "idle", idle_ms).otherwise(0))
+    typed = F.when(F.col("reason") != "cursor_moved", F.col("typed"))
+    outcome = F.when(rejected, "rejected").otherwise("shown")
+    return e.select("buffer_id", F.col("p.request_id").alias("request_id"), when.alias("ts"), outcome.alias("outcome"), "reason", typed.alias("typed"), "shown")
 
 
 def validated_stream(events: DataFrame, spec: str = fixed.DEFAULT_OVERLAP, idle_ms: int = fixed.IDLE_MS, late: str = "10 seconds") -> DataFrame:
     """The same over a stream: one pending completion a buffer in the state store, idle timers in event time."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    reachable(events.sparkSession)
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         p = json.loads(state.get[0]) if state.exists else None
         out: list[dict] = []
@@ -142,7 +174,7 @@ def validated_stream(events: DataFrame, spec: str = fixed.DEFAULT_OVERLAP, idle_
             p, got = step(p, {"ms": (p["ms"] + idle_ms) if p else 0, "kind": "end"}, spec, idle_ms)
             out += got
         else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "kind"], kind="stable")
+            rows = pd.concat(list(batches)).sort_values(["ts", "kind", "request_id"], kind="stable", na_position="first")
             for r in rows.to_dict("records"):
                 p, got = step(p, r | {"ms": int(pd.Timestamp(r["ts"]).value // 1_000_000)}, spec, idle_ms)
                 out += got

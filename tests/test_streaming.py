@@ -1,6 +1,11 @@
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
 
+import pytest
+from conftest import ROOT
 from pyspark.sql import functions as F
 
 from inkwell.sources import log
@@ -24,16 +29,25 @@ def random_events(seed, buffers=6, n=60):
     return rows
 
 
-def plainly(rows, idle_ms):
+def told(b, g):
+    return (b, g["request_id"], g["outcome"], g["reason"], g["typed"] or "", tuple(g["shown"] or ()), g["ms"])
+
+
+def rows_of(df):
+    ms = F.unix_millis("ts") - int((START - dt.datetime(1970, 1, 1)).total_seconds() * 1000)
+    return sorted(told(r.buffer_id, r.asDict()) for r in df.withColumn("ms", ms).collect())
+
+
+def plainly(rows, idle_ms, spec="1+1"):
     out = []
     for b in sorted({r[0] for r in rows}):
         p = None
         for r in sorted((r for r in rows if r[0] == b), key=lambda r: r[1]):
             e = dict(zip(("buffer_id", "ts", "kind", "request_id", "row", "col", "line", "candidates"), r)) | {"ms": round((r[1] - START).total_seconds() * 1000)}
-            p, got = machine.step(p, e, idle_ms=idle_ms)
-            out += [(b, g["request_id"], g["outcome"], g["reason"]) for g in got]
-        _, got = machine.step(p, {"ms": 2**62, "kind": "end"}, idle_ms=idle_ms)
-        out += [(b, g["request_id"], g["outcome"], g["reason"]) for g in got]
+            p, got = machine.step(p, e, spec, idle_ms)
+            out += [told(b, g) for g in got]
+        _, got = machine.step(p, {"ms": 2**62, "kind": "end"}, spec, idle_ms)
+        out += [told(b, g) for g in got]
     return sorted(out)
 
 
@@ -58,7 +72,7 @@ def test_batch_and_stream_agree_with_a_loop(spark, tmp_path):
     rows = random_events(1)
     d = spark.createDataFrame(rows, machine.EVENTS)
     want = plainly(rows, 1000)
-    got = sorted((r.buffer_id, r.request_id, r.outcome, r.reason) for r in machine.validated(d).collect())
+    got = rows_of(machine.validated(d))
     assert got == want and len(want) > 20
     # one file a second of events, then two late ones that move the watermark past all timers
     ordered = sorted(rows, key=lambda r: r[1])
@@ -70,8 +84,35 @@ def test_batch_and_stream_agree_with_a_loop(spark, tmp_path):
     q = machine.validated_stream(stream).writeStream.format("memory").queryName("shown").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
-    streamed = sorted((r.buffer_id, r.request_id, r.outcome, r.reason) for r in spark.table("shown").collect())
-    assert streamed == want
+    assert rows_of(spark.table("shown")) == want
+
+
+@pytest.mark.parametrize("spec, idle_ms", [("1+1", 1000), ("1+1", 0), ("1+1", -1), ("+3", 700), ("2", 1500), ("1+0.5", 300), ("none", 1000)])
+def test_windows_agree_with_a_loop(spark, spec, idle_ms):
+    rows = random_events(hash_of(spec) + idle_ms + 7, buffers=5, n=80)
+    # without candidates, without a line, and with a candidate that is typed whole
+    rows = [r[:6] + (None if i % 17 == 0 else r[6], None if i % 23 == 0 else r[7] + ["th", "t"]) for i, r in enumerate(rows)]
+    d = spark.createDataFrame(rows, machine.EVENTS)
+    want = plainly(rows, idle_ms, spec)
+    assert rows_of(machine.validated(d, spec, idle_ms)) == want and want
+    assert machine.validated(d.limit(0), spec, idle_ms).count() == 0
+
+
+def hash_of(text):
+    return sum(map(ord, text))
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    """Python workers find it in a session that was started elsewhere."""
+    code = f"""import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession, functions as F
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from inkwell.streaming import machine
+d = s.createDataFrame([(1, 0, "a", "b")], "id int, arrival int, content string, kind string")
+assert machine.scan(d, "id", ["arrival"], dict, lambda state, r: iter([{{"n": len(machine.rests(["ab"], "a"))}}] if r else []), "id int, n int").collect()[0].n == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)
 
 
 def test_debounce_stream_equals_batch(spark, tmp_path):
