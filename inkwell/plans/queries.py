@@ -828,7 +828,7 @@ def node_texts(spark, sf_dir):
 
 @query(
     f"""WITH {MIDDLE}, r AS (SELECT * FROM w WHERE lang <> 'fr' AND doc_id % 6 <> 5), p AS (SELECT *, doc_id % 2 = 0 AS chat FROM r),
-c AS (SELECT *, CASE WHEN chat THEN 'lang ' || lang || {NL} || {NL} || 'head ' || left(ls[1], 10) END AS ctx FROM p)
+c AS (SELECT *, CASE WHEN chat THEN 'lang ' || lang || {NL} || {NL} || 'head ' || ls[1] END AS ctx FROM p)
 SELECT doc_id AS request, CASE WHEN chat THEN 'chat' ELSE 'fim' END AS mode, md5(CASE WHEN chat THEN {SYSTEM} ELSE before END) AS first_part,
   CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE 'new line' END AS completions, CASE WHEN doc_id % 7 = 0 THEN 'moved' WHEN doc_id % 3 < 2 THEN 'empty' ELSE 'used' END AS verdict FROM c"""
 )
@@ -839,7 +839,7 @@ def suggestions(spark, sf_dir):
     r = d.select(F.col("doc_id").alias("request"), "text", F.col("lang").alias("filetype"), "line", "col")
     r = r.withColumn("mode", F.when(k % 6 == 5, "n").otherwise("i")).withColumn("formatter", F.when(k % 2 == 0, "chat").otherwise("fim")).withColumn("rejected", F.lit(None).cast("array<string>"))
     reg = Registry()
-    reg.provider("head", lambda x: x.select("request", F.concat(F.lit("head "), F.substring(F.get(T.lines(F.col("text")), F.lit(0)), 1, 10)).alias("content")), priority=20)
+    reg.provider("head", lambda x: x.select("request", F.concat(F.lit("head "), F.get(T.lines(F.col("text")), F.lit(0))).alias("content")), priority=20)
     reg.provider("lang", lambda x: x.select("request", F.concat(F.lit("lang "), "filetype").alias("content")), priority=5)
     r = suggest.with_prompts(suggest.eligible(r, ("fr",)), reg)
     fenced = F.when(k % 3 == 2, F.array(F.lit("```\nnew line\n```"))).otherwise(F.array().cast("array<string>"))
