@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.sources.shared import forget, shared_folder, written  # noqa: F401
+from inkwell.sources.shared import forget, reachable, shared_folder, written  # noqa: F401
 
 #: White space of all contracts (code points 0x20 and 0x09 to 0x0D) and a maximal run of anything else.
 SPACES = " \t\n\x0b\f\r"
@@ -31,10 +30,7 @@ def ready(spark: SparkSession) -> None:
     They find this package where it is not installed but lies at the same path, and get texts in batches of
     a few MB, since a batch is in memory several times, in the JVM and in a worker.
     """
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
