@@ -132,9 +132,9 @@ def linked(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return x.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def least_of(edges: DataFrame) -> DataFrame:
+def least_of(edges: DataFrame, rows: int) -> DataFrame:
     """(u, m): the smallest v of each u, written, so that a join with it has plain shuffles on both sides and Spark can split a hot u."""
-    return written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return written(edges.groupBy("u").agg(F.min("v").alias("m")), "least", rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,23 +142,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing moves: every node hands its larger neighbours to the smallest it knows,
     then its smaller ones. Each halves the trees' heights or better; a round is two aggregations and joins,
-    written to the shared folder.
+    written to the shared folder. No round has more edges than the one before. ``edges`` is read twice, since
+    the number of edges says how many files a table needs.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e, before = written(e, "edges"), None
+    e, before = written(e, "edges", edges.count()), None
     while True:
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or not now["n"]:
             return e.select(F.col("u").alias("doc"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("doc"), F.col("v").alias("component")).distinct())
-        before = now
+        before, most = now, 2 * now["n"]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = least_of(both)
-        larger = written(both.join(least.select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = least_of(both, most)
+        larger = written(both.join(least.select("u", F.least("u", "m").alias("m")), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges", most)
         forget(e, least)
-        least = least_of(larger)
+        least = least_of(larger, most)
         moved = larger.join(least, "u")
         e = moved.select("u", F.col("m").alias("v")).unionByName(moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = written(e, "edges")
+        e = written(e, "edges", most)
         forget(larger, least)
 
 
@@ -193,7 +194,7 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc, c, hub): members of the large buckets (key, doc, n) that still hold several components, with the bucket's smallest."""
     m = written(labelled(members.where(F.col("n") > SMALL), labels), "large")
     # written, so that the join has plain shuffles on both sides and a hot bucket can be split
-    ends = written(m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc").alias("hub")).where("c0 <> c1").select("key", "hub"), "open")
+    ends = written(m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("doc").alias("hub")).where("c0 <> c1").select("key", "hub"), "open", m.count())
     return m.join(ends, "key").select("doc", "c", "hub").distinct()
 
 
@@ -298,30 +299,31 @@ def near_duplicates(docs: DataFrame, similar: int = 80, width: int = 5) -> DataF
     blocks of sets, and links, never single pairs of a large bucket.
     """
     sig = written(signatures(docs, width), "signatures")
+    n = sig.count()
     with_words = sig.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
     copies = with_words.groupBy("same").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # read again, so that the join has plain shuffles on both sides and a hot group of copies can be split
-    copies = written(copies.drop("copies"), "groups")
+    copies = written(copies.drop("copies"), "groups", n)
     own = written(with_words.select("doc_id", "same").join(copies, "same").select("doc_id", "first"), "copies")
     later = own.where("doc_id <> first").select("doc_id").distinct()
     kept = with_words.join(later, "doc_id", "left_anti")
     keyed = written(kept.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key")), "keys")
-    buckets = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub")).where("n > 1"), "sizes")
+    buckets = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("hub")).where("n > 1"), "sizes", BANDS * n)
     members = written(keyed.join(buckets, "key"), "buckets")
     forget(keyed, buckets)
     met = members.where("doc <> hub").groupBy("doc", "hub").agg(F.count(F.lit(1)).alias("times"))
     first = met.groupBy("doc").agg(F.max(F.struct("times", (-F.col("hub")).alias("to"))).alias("best")).select(F.col("doc").alias("a"), (-F.col("best.to")).alias("b"))
-    tried = written(first, "pairs")
-    ids = written(members.select(F.col("doc").alias("doc_id")).distinct(), "ids")
+    tried = written(first, "pairs", n)
+    ids = written(members.select(F.col("doc").alias("doc_id")).distinct(), "ids", n)
     sets = written(full_sets(only(docs.select("doc_id", "text"), ids), width), "sets")
-    labels = written(components(written(linked(tried, sets, similar), "links")), "labels")
+    labels = written(components(written(linked(tried, sets, similar), "links")), "labels", n)
     more = written(candidates(members, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = written(linked(more, sets, similar).join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    found = written(linked(more, sets, similar).join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links", more.count())
     if not found.isEmpty():
         labels = written(relabelled(labels, components(found)), "labels")
-    rest = written(unsettled(members, labels), "unsettled")
+    rest = written(unsettled(members, labels), "unsettled", BANDS * n)
     if not rest.isEmpty():
-        found = written(across(rest, sets, similar), "links")
+        found = written(across(rest, sets, similar), "links", rest.count())
         if not found.isEmpty():
             labels = written(relabelled(labels, components(found)), "labels")
     forget(members, tried, ids, sets, more, found, rest)

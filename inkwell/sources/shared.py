@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows in a file of a table that is known to be small.
+ROWS_A_FILE = 100_000
+
 
 def reachable(spark: SparkSession) -> None:
     """Lets Python workers import this package where it is not installed but lies at the same path."""
@@ -38,13 +41,20 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/inkwell-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation of what led here. The table
     stays until ``forget`` or ``clean``.
+
+    ``rows`` says about how many rows it has at most, where that is known and ``df`` ends in a cheap step behind
+    a shuffle. All rows are written, in no more files than so many need. On a mounted folder (file:) Hadoop without
+    its native library starts up to three chmod processes for each file; until such a process runs chmod it shares
+    all memory of its executor, and whoever adds up the memory of processes then counts the executor twice.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
