@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.sources.shared import forget, reachable, shared_folder, written  # noqa: F401
+from inkwell.sources.shared import forget, mapped, reachable, shared_folder, worker_written, written  # noqa: F401
 
 #: White space of all contracts (code points 0x20 and 0x09 to 0x0D) and a maximal run of anything else.
 SPACES = " \t\n\x0b\f\r"

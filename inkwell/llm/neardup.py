@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import pieces
-from .common import forget, written
+from .common import forget, mapped
+from .common import worker_written as written
 
 #: Each of HASHES permutations gives its minimum and its maximum, so BANDS * ROWS is twice HASHES. A pair at
 #: similarity 0.8 is missed by all bands with a chance of (1 - 0.8**5)**32, about 3 in a million.
@@ -93,7 +94,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x or None for x in same], pa.binary()), lists], names=["doc_id", "n_shingles", "same", "keys"])
 
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_shingles long, same binary, keys array<long>")
+    return mapped(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_shingles long, same binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -106,7 +107,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "body"])
 
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, body binary")
+    return mapped(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, body binary")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -129,7 +130,7 @@ def linked(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
                 keep.append(100 * common >= similar * (len(both) - common) and common > 0)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return x.mapInArrow(run, f"a {kind}, b {kind}")
+    return mapped(x, run, f"a {kind}, b {kind}")
 
 
 def least_of(edges: DataFrame, rows: int) -> DataFrame:
@@ -331,4 +332,8 @@ def near_duplicates(docs: DataFrame, similar: int = 80, width: int = 5) -> DataF
     c = c.unionByName(labels.join(own.select(F.col("doc_id").alias("doc")), "doc", "left_anti").select(F.col("doc").alias("doc_id"), F.col("component").alias("component_id"))).distinct()
     out = sig.select("doc_id", "n_shingles").join(c.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left").drop("of")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept")
+    out = out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept")
+    # written, so that a caller who stores it gets as many files as its rows need, not one of each shuffle partition
+    out = written(out, "result")
+    forget(sig, copies, own, labels)
+    return out
